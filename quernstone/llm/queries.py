@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe_codec, language_id, quality_gam, token_counts
-from quernstone.llm.common import table
-
-TOKENIZERS = "/opt/tokenizers"
+from quernstone.llm import bpe_codec, language_id, quality_gam, token_counts, warc
+from quernstone.llm.common import shared_dir, table
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_codec.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", outputs=False)
+    out = bpe_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), outputs=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -24,7 +23,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +32,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).select("doc_id", quality_gam.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"), shared_dir(spark))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {}
