@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe_codec, language_id, quality_gam, token_counts, warc
+from quernstone.llm import bpe_codec, language_id, quality_gam, simhash, token_counts, warc
 from quernstone.llm.common import shared_dir, table
 
 
@@ -16,6 +16,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~language_id.held_out()))
@@ -39,6 +43,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
