@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe_codec, language_id, quality_gam, simhash, token_counts, warc
+from quernstone.llm import bpe_codec, language_id, quality_gam, simhash, substring_recompression, token_counts, warc
 from quernstone.llm.common import shared_dir, table
 
 
@@ -41,6 +41,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_recompression.remove_repeats(table(spark, sf_dir, "documents"), shared_dir(spark), keep_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op5_simhash": op5_simhash,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLES: dict[str, str] = {}
