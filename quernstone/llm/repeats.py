@@ -26,6 +26,8 @@ from quernstone.llm.common import settle
 
 #: Runs of one owner that a task may hold.
 HOT = 20_000
+#: Rows that a task gathers, whole owners at a time, before it compares them.
+BLOCK = 8_192
 
 
 class Cutter(Protocol):
@@ -115,7 +117,7 @@ def _compared(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in batches:  # sorted by owner: whole owners are compared once enough rows are held
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 2 * HOT:
+            if rows >= BLOCK:
                 table = pa.Table.from_batches(held)
                 owner = table.column("owner").to_numpy()
                 cut = int(np.searchsorted(owner, owner[-1]))
