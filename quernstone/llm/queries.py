@@ -7,10 +7,14 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe_codec, language_id, quality_gam, simhash, substring_recompression, suffix_dedup, token_counts, warc
+from quernstone.llm import bpe_codec, language_id, quality_gam, simhash, substring_recompression, suffix_dedup, template_decontamination, token_counts, warc
 from quernstone.llm.common import shared_dir, table
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_dir(spark))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), outputs=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -52,6 +56,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_bpe_codec": op2_bpe_codec,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
