@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import bpe_codec, language_id, quality_gam, simhash, substring_recompression, suffix_dedup, template_decontamination, token_counts, warc
+from quernstone.llm import bpe_codec, chroma, language_id, quality_gam, simhash, substring_recompression, suffix_dedup, template_decontamination, token_counts, warc
 from quernstone.llm.common import shared_dir, table
 
 
@@ -20,6 +21,11 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("samples"))
+    return chroma.align(media, shared_dir(spark), F.col("doc_id") % 50 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), shared_dir(spark), keep_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -58,6 +64,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_chroma": op3_chroma,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
