@@ -4,26 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import language_id
+from quernstone.llm import bpe_codec, language_id, simhash, substring_recompression, template_decontamination
 from quernstone.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: A document goes if no language holds this share of its corrected popcounts.
-LEAST_SCORE = 0.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised: those with no letter, or no n-gram of any language, go."""
-    model = language_id.fit(docs.filter(~language_id.held_out()))
-    found = language_id.identify(docs, model, keep=docs.columns)
-    return found.filter((found["lang_pred"] != language_id.UNKNOWN) & (found["score"] > LEAST_SCORE)).select(*docs.columns)
+    """Documents without letters, or without an n-gram of any language, go."""
+    return language_id.keep_known(docs, language_id.fit(docs.filter(~language_id.held_out())))
 
 
-STAGES: list[tuple[str, Stage]] = [("language", known_language)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, the one with the smallest id stays."""
+    found = simhash.near_duplicates(docs, shared_dir(spark))
+    stays = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
 
-#: No stage but the first parts of some can be said in SQL; tests compare the stages with brute force.
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that repeat an earlier window go; a text that loses none stays as it is."""
+    found = substring_recompression.remove_repeats(docs, shared_dir(spark)).filter("n_removed > 0").select("doc_id", F.col("kept").alias("kept_text"))
+    text = F.coalesce("kept_text", "text")
+    out = docs.join(found, "doc_id", "left").withColumn("text", text)
+    return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other values, go."""
+    found = template_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), shared_dir(spark))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token ids (little-endian 32-bit) and digests of ids and decoded text."""
+    return bpe_codec.encode_decode(docs, tokenizer("word_bpe_49k.json")).drop("decoded")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("repeats", without_repeats),
+    ("decontamination", uncontaminated),
+    ("encoding", encoded),
+]
+
+#: Trained filters, n-fold word windows and subword merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -167,6 +167,21 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageFilter, least: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is recognised with a score above `least`.
+
+    Texts that are null, have no letter, or share no n-gram with a learned language go.
+    """
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(x.as_py()) for x in batch.column(place)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(fold: int = 1, folds: int = 3) -> Column:
     """Whether a document is kept from training."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
