@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.plans import tpch
+from quernstone.plans.suite import Query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-for _module in (tpch,):
-    QUERIES.update(_module.QUERIES)
-    ORACLES.update(_module.ORACLES)
+SUITE: dict[str, Query] = {**tpch.SUITE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(SUITE)
+ORACLES: dict[str, str] = {name: q.oracle_text() for name, q in SUITE.items() if q.oracle != ""}

@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from quernstone.sources.parquet import read_table, register
+from quernstone.sources.parquet import TABLES, read_table, register
 
-__all__ = ["read_table", "register"]
+__all__ = ["TABLES", "read_table", "register"]
