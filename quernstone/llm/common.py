@@ -27,10 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, path: str) -> DataFrame:
-    """Writes df below a shared folder and reads it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df below a shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The write's own shuffle files go when it ends, so a job of many steps holds the disk of one step at a time.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

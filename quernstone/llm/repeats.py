@@ -42,18 +42,19 @@ class Cutter(Protocol):
     def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of each window's content."""
 
-    def piece(self, text: bytes, start: int, n: int) -> bytes:
-        """The text that windows start to start + n - 1 cover."""
+    def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+        """For each start and n the text that windows start to start + n - 1 cover."""
 
     def repeated(self, group: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], n: np.ndarray) -> list[np.ndarray]:
         """For each piece, which of its n windows repeat within its group (a number for each owner); pieces come in
         the order of group, doc, start. With first_stays the first of equal windows is not marked."""
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, sha of all documents (doc_id, text), and for each sha its smallest doc_id and number."""
+def twins(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, rep for each document (doc_id, text) whose text others have too; rep is the smallest doc_id of them."""
     keyed = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    return keyed, keyed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    groups = keyed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "rep")
+    return settle(keyed.join(groups, "sha").select("doc_id", "rep"), f"{path}/twins")
 
 
 def _runs(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -75,9 +76,8 @@ def _pieces(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for at in range(0, batch.num_rows, 256):
                 rows: list[tuple] = []
                 for doc_id, text, runs in zip(*[x.slice(at, 256).to_pylist() for x in batch.columns], strict=True):
-                    data = text.encode()
-                    for r in runs:
-                        rows.append((r["owner"], doc_id, r["start"], r["n"], cutter.piece(data, r["start"], r["n"])))
+                    at_n = [(r["start"], r["n"]) for r in runs]
+                    rows += [(r["owner"], doc_id, *x, piece) for r, x, piece in zip(runs, at_n, cutter.pieces(text.encode(), at_n), strict=True)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "doc_id", "start", "n", "piece"])
 
@@ -135,19 +135,26 @@ def repeated_spans(texts: DataFrame, cutter: Cutter, path: str, hot: int = HOT)
     """doc_id, spans (array of start, n: windows that repeat) for texts (doc_id not null and unique, text)."""
     runs = settle(texts.mapInArrow(_runs(cutter), "owner long, doc_id long, start int, n int, weight int"), f"{path}/runs")
     counts = runs.groupBy("owner").agg(F.sum("weight").alias("m"), F.count("*").alias("k")).filter("m > 1").select("owner", (F.col("k") > hot).alias("hot"))
-    shared = runs.select("owner", "doc_id", "start", "n").join(counts, "owner")
-    lists = shared.groupBy("doc_id", "hot").agg(F.collect_list(F.struct("owner", "start", "n")).alias("runs"))
-    lists = lists.groupBy("doc_id").agg(F.max(F.when(~F.col("hot"), F.col("runs"))).alias("cool"), F.max(F.when(F.col("hot"), F.col("runs"))).alias("warm"))
-    met = texts.select("doc_id", "text").join(lists, "doc_id")
-    pieces = met.filter("cool is not null").select("doc_id", "text", "cool").mapInArrow(_pieces(cutter), "owner long, doc_id long, start int, n int, piece binary")
+    run = F.struct("owner", "start", "n")
+    shared = runs.select("owner", "doc_id", "start", "n").join(counts, "owner").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), run)).alias("cool"), F.collect_list(F.when(F.col("hot"), run)).alias("warm"))
+    lists = settle(shared, f"{path}/shared")
+    met = texts.select("doc_id", "text").join(lists.filter("size(cool) > 0").select("doc_id", "cool"), "doc_id")
+    pieces = met.select("doc_id", "text", "cool").mapInArrow(_pieces(cutter), "owner long, doc_id long, start int, n int, piece binary")
     found = pieces.repartition("owner").sortWithinPartitions("owner", "doc_id", "start").mapInArrow(_compared(cutter), "doc_id long, start int, n int")
-    windows = met.filter("warm is not null").select("doc_id", "text", "warm").mapInArrow(_hot_windows(cutter), "h1 long, h2 long, doc_id long, start int")
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    found = settle(found, f"{path}/found")
+    warm = lists.filter("size(warm) > 0").select("doc_id", "warm")
+    if not warm.limit(1).count():
+        return found
+    windows = texts.select("doc_id", "text").join(warm, "doc_id").select("doc_id", "text", "warm").mapInArrow(_hot_windows(cutter), "h1 long, h2 long, doc_id long, start int")
+    windows = settle(windows, f"{path}/windows")
     groups = windows.groupBy("h1", "h2").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "start")).alias("least")).filter("k > 1").drop("k")
     again = windows.join(groups, ["h1", "h2"])
     if cutter.first_stays:
         again = again.filter("doc_id <> least.doc_id or start <> least.start")
-    again = again.select("doc_id", "start", F.lit(1).alias("n"))
-    return found.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    again = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("spans"))
+    both = found.unionByName(again).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return settle(both, f"{path}/both")
 
 
 def covered(spans_: list[dict] | None, n_windows: int, width: int, n: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import SPACE, id_and_text
-from quernstone.llm.repeats import covered, distinct_texts, repeated_spans
+from quernstone.llm.repeats import covered, repeated_spans, twins
 
 WIDTH = 20
 ROUNDS = 4
@@ -134,23 +134,20 @@ class WordCutter:
             out.append(mix(acc))
         return out[0], out[1]
 
-    def piece(self, text: bytes, start: int, n: int) -> bytes:
-        if self._text is not text:
-            self._text, self._places = text, [m.span() for m in _word.finditer(text)]
-        return b" ".join(text[a:b] for a, b in self._places[start : start + n + self.width - 1])
-
-    _text: bytes | None = None
+    def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+        words = _word.findall(text)
+        return [b" ".join(words[start : start + n + self.width - 1]) for start, n in runs]
 
     def repeated(self, group: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], n: np.ndarray) -> list[np.ndarray]:
         """Pieces come in the order of doc and start, so the first window of its content is the one that stays."""
-        out, seen, last = [], set(), None
+        out, seen, last, width = [], set(), None, self.width
         for g, piece, k in zip(group.tolist(), pieces, n.tolist(), strict=True):
             if g != last:
                 seen, last = set(), g
-            at = [-1, *(i for i, c in enumerate(piece) if c == 32), len(piece)]
+            words = piece.split(b" ")
             flags = np.zeros(k, dtype=bool)
             for i in range(k):
-                window = piece[at[i] + 1 : at[i + self.width]]
+                window = b" ".join(words[i : i + width])
                 if window in seen:
                     flags[i] = True
                 else:
@@ -189,10 +186,9 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
     """
     base = id_and_text(docs)
     known = base.filter("doc_id is not null")
-    keyed, groups = distinct_texts(known)
-    texts = known.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    found = repeated_spans(texts, WordCutter(width), path)
-    copies = keyed.join(groups.filter("copies > 1"), "sha").filter("doc_id <> rep").select("doc_id", F.lit(True).alias("copy"))
+    later = twins(known, path).filter("doc_id <> rep").select("doc_id")
+    found = repeated_spans(known.join(later, "doc_id", "left_anti"), WordCutter(width), path)
+    copies = later.withColumn("copy", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

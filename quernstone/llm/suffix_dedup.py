@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import id_and_text
-from quernstone.llm.repeats import covered, distinct_texts, repeated_spans, spans
+from quernstone.llm.repeats import covered, repeated_spans, spans, twins
 
 WIDTH = 200
 SAMPLED = 32
@@ -219,8 +219,8 @@ class ByteCutter:
         data = np.frombuffer(text, dtype=np.uint8)
         return rolling(data, self.width, _bases[0]), rolling(data, self.width, _bases[1])
 
-    def piece(self, text: bytes, start: int, n: int) -> bytes:
-        return text[start : start + n + self.width - 1]
+    def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+        return [text[start : start + n + self.width - 1] for start, n in runs]
 
     def repeated(self, group: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], n: np.ndarray) -> list[np.ndarray]:
         at: dict[bytes, int] = {}
@@ -242,10 +242,9 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
     """
     base = id_and_text(docs)
     known = base.filter("doc_id is not null")
-    keyed, groups = distinct_texts(known)
-    texts = known.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    found = repeated_spans(texts, ByteCutter(width), path)
-    copies = keyed.join(groups.filter("copies > 1"), "sha").select("doc_id", F.lit(True).alias("copy"))
+    same = twins(known, path)
+    found = repeated_spans(known.join(same.filter("doc_id <> rep"), "doc_id", "left_anti"), ByteCutter(width), path)
+    copies = same.select("doc_id", F.lit(True).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
