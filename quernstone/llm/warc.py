@@ -215,9 +215,10 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         columns = {name: table.column(name).to_pylist() for name in (*KEY, "archive", "seq")}
         slices: dict[str, list[tuple]] = {}
         for i, (key, when, page, archive, seq) in enumerate(zip(*columns.values(), strict=True)):
