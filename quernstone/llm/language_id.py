@@ -78,7 +78,7 @@ class LanguageFilter:
         self.words = np.zeros(1 << FILTER_BITS, dtype=kind)
         totals = counts.sum(axis=1, keepdims=True)
         rates = counts / np.maximum(totals, 1)
-        member = (rates >= SHARE * rates.max(axis=0, keepdims=True)) & (counts > 0) & (counts.sum(axis=0, keepdims=True) >= LEAST)
+        member = (rates >= SHARE * rates.max(axis=0, keepdims=True, initial=0)) & (counts > 0) & (counts.sum(axis=0, keepdims=True) >= LEAST)
         for i in range(len(languages)):
             for at in self.positions(np.flatnonzero(member[i]).astype(np.uint64)):
                 self.words[at] |= kind(1 << i)
