@@ -33,4 +33,4 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 def info(spark: SparkSession) -> dict[str, str]:
     """What evaluates expressions just now: the settings that stand in for a choice of code generator."""
     keys = ["spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode", "spark.sql.codegen.maxFields", "spark.sql.optimizer.inSetConversionThreshold", "spark.sql.adaptive.enabled", "spark.sql.parquet.enableVectorizedReader", "spark.sql.shuffle.partitions"]
-    return {"version": spark.version, "master": spark.sparkContext.master} | {k: spark.conf.get(k, "") for k in keys}
+    return {"version": spark.version, "master": spark.sparkContext.master} | {k: str(spark.conf.get(k)) for k in keys}
