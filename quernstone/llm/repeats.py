@@ -19,6 +19,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from quernstone.llm.common import settle
 HOT = 20_000
 #: Rows that a task gathers, whole owners at a time, before it compares them.
 BLOCK = 8_192
+#: Bytes of text that are cut at a time.
+PART = 1 << 21
 
 
 class Cutter(Protocol):
@@ -39,15 +42,18 @@ class Cutter(Protocol):
         """Runs of windows with one owner: which text, first window, number, owner, and whether the owner occurs at
         several places of these texts."""
 
+    def parts(self, text: bytes, most: int) -> list[tuple[int, bytes]]:
+        """A long text in parts that together have each window once: first window and text of each."""
+
     def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of each window's content."""
 
     def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         """For each start and n the text that windows start to start + n - 1 cover."""
 
-    def repeated(self, group: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-        """For each piece, which of its n windows repeat within its group (a number for each owner); pieces come in
-        the order of group, doc, start. With first_stays the first of equal windows is not marked."""
+    def repeated(self, group: np.ndarray, pieces: list[bytes], n: np.ndarray) -> np.ndarray:
+        """Which windows repeat within their group (a number for each owner), those of all pieces in a row; pieces
+        come in the order of group, document, start. With first_stays the first of equal windows is not marked."""
 
 
 def twins(docs: DataFrame, path: str) -> DataFrame:
@@ -57,29 +63,52 @@ def twins(docs: DataFrame, path: str) -> DataFrame:
     return settle(keyed.join(groups, "sha").select("doc_id", "rep"), f"{path}/twins")
 
 
+def _sized(batch: pa.RecordBatch, cutter: Cutter) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of document, first window and text, of about PART bytes each, so memory does not follow the rows."""
+    group, held = [], 0
+    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+        data = text.as_py().encode()
+        for first, part in [(0, data)] if len(data) <= PART else cutter.parts(data, PART):
+            group.append((doc_id.as_py(), first, part))
+            held += len(part)
+            if held >= PART:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
 def _runs(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids = batch.column(0).slice(at, 512).to_numpy()
-                which, start, n, owner, several = cutter.runs([x.as_py().encode() for x in batch.column(1).slice(at, 512)])
+            for group in _sized(batch, cutter):
+                ids, first = np.array([i for i, _, _ in group]), np.array([a for _, a, _ in group])
+                which, start, n, owner, several = cutter.runs([text for _, _, text in group])
                 if len(which):
-                    cols = [owner, ids[which], start, n, several.astype(np.int32) + 1]
+                    cols = [owner, ids[which], first[which] + start, n, several.astype(np.int32) + 1]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["owner", "doc_id", "start", "n", "weight"])
 
     return run
 
 
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many entries each row's list has, and the entries' fields, all rows in a row."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return sizes, [x.to_numpy(zero_copy_only=False) for x in pc.list_flatten(column).flatten()]
+
+
 def _pieces(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows: list[tuple] = []
-                for doc_id, text, runs in zip(*[x.slice(at, 256).to_pylist() for x in batch.columns], strict=True):
-                    at_n = [(r["start"], r["n"]) for r in runs]
-                    rows += [(r["owner"], doc_id, *x, piece) for r, x, piece in zip(runs, at_n, cutter.pieces(text.encode(), at_n), strict=True)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "doc_id", "start", "n", "piece"])
+                part = batch.slice(at, 256)
+                sizes, (owner, start, n) = _listed(part.column(2))
+                pairs, pieces, k = list(zip(start.tolist(), n.tolist(), strict=True)), [], 0
+                for text, size in zip(part.column(1), sizes.tolist(), strict=True):
+                    pieces += cutter.pieces(text.as_py().encode(), pairs[k : k + size])
+                    k += size
+                docs = np.repeat(part.column(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((owner, docs, start, n, pieces), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "doc_id", "start", "n", "piece"])
 
     return run
 
@@ -95,6 +124,19 @@ def _hot_windows(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+_power_cache: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the power of 0 to n - 1, modulo 2**64; kept for the process up to the largest n so far."""
+    have = _power_cache.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have[0] = 1
+        have = _power_cache[base] = np.multiply.accumulate(have)
+    return have[:n]
+
+
 def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of true flags."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
@@ -105,12 +147,16 @@ def _compared(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             owner, doc, start, n = (table.column(x).to_numpy() for x in ("owner", "doc_id", "start", "n"))
-            out = []
-            for d, s, flags in zip(doc.tolist(), start.tolist(), cutter.repeated(owner, doc, start, table.column("piece").to_pylist(), n), strict=True):
-                for a, k in zip(*spans(flags), strict=True):
-                    out.append((d, s + int(a), int(k)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "n"])
+            flags = cutter.repeated(owner, table.column("piece").to_pylist(), n)
+            first = np.cumsum(n) - n
+            begins = np.zeros(len(flags) + 1, dtype=bool)
+            begins[first] = begins[-1] = True
+            at = np.flatnonzero(flags & (begins[:-1] | ~np.concatenate(([False], flags[:-1]))))
+            end = np.flatnonzero(flags & (begins[1:] | ~np.concatenate((flags[1:], [False]))))
+            if len(at):
+                row = np.searchsorted(first, at, side="right") - 1
+                cols = doc[row], start[row] + at - first[row], end - at + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "n"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -157,12 +203,12 @@ def repeated_spans(texts: DataFrame, cutter: Cutter, path: str, hot: int = HOT)
     return settle(both, f"{path}/both")
 
 
-def covered(spans_: list[dict] | None, n_windows: int, width: int, n: int) -> np.ndarray:
-    """Which of n tokens the windows of spans_ cover."""
-    if not spans_:
-        return np.zeros(n, dtype=bool)
-    step = np.zeros(n + 1, dtype=np.int64)
-    for s in spans_:
-        step[s["start"]] += 1
-        step[min(n, s["start"] + s["n"] - 1 + width)] -= 1
-    return np.cumsum(step[:-1]) > 0
+def removed(spans_: pa.ListArray, lengths: list[int], width: int) -> Iterator[np.ndarray]:
+    """For each row which of its tokens the windows in its spans cover."""
+    sizes, fields = _listed(spans_)
+    start, stop = (fields[0], fields[0] + fields[1] - 1 + width) if fields else (np.zeros(0, int), np.zeros(0, int))
+    k = 0
+    for size, n in zip(sizes.tolist(), lengths, strict=True):
+        step = np.bincount(start[k : k + size], minlength=n + 1)[: n + 1] - np.bincount(np.minimum(stop[k : k + size], n), minlength=n + 1)[: n + 1]
+        yield np.cumsum(step[:n]) > 0
+        k += size

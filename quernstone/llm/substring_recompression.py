@@ -12,8 +12,8 @@ verified word for word.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import SPACE, id_and_text
-from quernstone.llm.repeats import covered, repeated_spans, twins
+from quernstone.llm.common import id_and_text
+from quernstone.llm.repeats import powers, removed, repeated_spans, twins
 
 WIDTH = 20
 ROUNDS = 4
-_word = re.compile(SPACE.encode())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +49,23 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_white = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_codes = mix(np.arange(1, 257, dtype=np.uint64))
+_base = 0x9E3779B97F4A7C15
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts, and how many words each has."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    white = _white[data]
+    start = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
+    end = np.flatnonzero(white & np.concatenate(([False], ~white[:-1])))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_codes[data] * powers(_base, len(data)))))
+    names = (sums[end] - sums[start]) * powers(pow(_base, -1, 1 << 64), len(data))[start]
+    ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in texts]))
+    return mix(names ^ (end - start).astype(np.uint64)), np.diff(np.concatenate(([0], ends)))
+
+
 def symbols(names: np.ndarray, rounds: int, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each round the names, and the first and last place of the words that decided each.
 
@@ -81,7 +97,7 @@ def symbols(names: np.ndarray, rounds: int, width: int) -> list[tuple[np.ndarray
 
 
 class WordCutter:
-    """Windows of `width` words; the first of equal windows stays."""
+    """Windows of `width` words, parted at ASCII white space; the first of equal windows stays."""
 
     first_stays = True
 
@@ -89,26 +105,26 @@ class WordCutter:
         self.width, self.rounds = width, rounds
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        words, at = [], [0]
-        for i, text in enumerate(texts):
-            words += _word.findall(text)
-            words.append(b" %d" % i)  # no word has a blank: what holds a text's end is in no window
-            at.append(len(words))
-        bounds = np.array(at)
-        m = len(words) - self.width + 1
+        hashes, counts = word_names(texts)
+        # what stands for a text's end is in no window
+        names = np.insert(hashes, np.cumsum(counts), mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1 << 40)))
+        bounds = np.concatenate(([0], np.cumsum(counts + 1)))
+        m = len(names) - self.width + 1
         valid = np.ones(max(0, m), dtype=bool)
-        for end in bounds[1:] - 1:
-            valid[max(0, end - self.width + 1) : end + 1] = False
+        near = np.zeros(len(names) + 1, dtype=np.int64)
+        np.add.at(near, np.maximum(0, bounds[1:] - self.width), 1)
+        np.add.at(near, bounds[1:], -1)
+        valid &= np.cumsum(near)[: len(valid)] == 0
         if not valid.any():
             return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
         owner, twice = np.zeros(m, np.uint64), [np.zeros(0, np.uint64)]
-        levels = symbols(word_hashes(words), self.rounds, self.width)
+        levels = symbols(names, self.rounds, self.width)
         for k in range(self.rounds, -1, -1):
-            names, lo, hi = levels[k]
-            ok = (hi - lo < self.width) & (lo >= 0) & (hi < len(words))
+            symbol, lo, hi = levels[k]
+            ok = (hi - lo < self.width) & (lo >= 0) & (hi < len(names))
             if k == 0:  # the window of a few long runs: any word in it, by its own name
-                names, lo, hi, ok = word_hashes(words), np.arange(len(words)), np.arange(len(words)), slice(None)
-            value = mix(names[ok]) | np.uint64(1)
+                symbol, lo, hi, ok = names, np.arange(len(names)), np.arange(len(names)), slice(None)
+            value = mix(symbol[ok]) | np.uint64(1)
             first, last = np.maximum(0, hi[ok] - self.width + 1), np.minimum(lo[ok], m - 1)
             best = range_max(value, first, last - first + 1, m)
             owner = np.where(owner == 0, best, owner)
@@ -124,8 +140,13 @@ class WordCutter:
         which = np.searchsorted(bounds, start, side="right") - 1
         return which, start - bounds[which], n, owner[start].view(np.int64), np.isin(owner[start], np.concatenate(twice))
 
+    def parts(self, text: bytes, most: int) -> list[tuple[int, bytes]]:
+        words = text.split()
+        step = max(1, most // 8)
+        return [(a, b" ".join(words[a : a + step + self.width - 1])) for a in range(0, max(1, len(words) - self.width + 1), step)]
+
     def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        h = word_hashes(_word.findall(text))
+        h = word_hashes(text.split())
         out = []
         for base in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
             acc = np.zeros(len(h) - self.width + 1, dtype=np.uint64)
@@ -135,25 +156,29 @@ class WordCutter:
         return out[0], out[1]
 
     def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
-        words = _word.findall(text)
+        words = text.split()
         return [b" ".join(words[start : start + n + self.width - 1]) for start, n in runs]
 
-    def repeated(self, group: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-        """Pieces come in the order of doc and start, so the first window of its content is the one that stays."""
-        out, seen, last, width = [], set(), None, self.width
+    def repeated(self, group: np.ndarray, pieces: list[bytes], n: np.ndarray) -> np.ndarray:
+        """The first window of its content, in the order of document and start, is the one that stays."""
+        out, seen, whole, last, width = [], set(), set(), None, self.width
         for g, piece, k in zip(group.tolist(), pieces, n.tolist(), strict=True):
             if g != last:
-                seen, last = set(), g
+                seen, whole, last = set(), set(), g
+            if piece in whole:  # all its windows were met
+                out.append(b"\1" * k)
+                continue
+            whole.add(piece)
             words = piece.split(b" ")
-            flags = np.zeros(k, dtype=bool)
+            flags = bytearray(k)
             for i in range(k):
                 window = b" ".join(words[i : i + width])
                 if window in seen:
-                    flags[i] = True
+                    flags[i] = 1
                 else:
                     seen.add(window)
-            out.append(flags)
-        return out
+            out.append(bytes(flags))
+        return np.frombuffer(b"".join(out), dtype=np.bool_)
 
 
 def range_max(value: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
@@ -193,14 +218,17 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for doc_id, text, spans_, copy in zip(*[x.slice(at, 256).to_pylist() for x in batch.columns], strict=True):
-                    words = _word.findall(text.encode())
-                    n = len(words)
-                    gone = np.full(n, n >= width) if copy else covered(spans_, n - width + 1, width, n)
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
-                    rows.append((doc_id, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                part = batch.slice(at, 256)
+                words = [x.as_py().encode().split() for x in part.column(1)]
+                sizes, gone_, kept_ = [len(w) for w in words], [], []
+                for w, gone, copy in zip(words, removed(part.column(2), sizes, width), part.column(3).to_pylist(), strict=True):
+                    if copy:
+                        gone = np.full(len(w), len(w) >= width)
+                    gone_.append(int(np.count_nonzero(gone)))
+                    kept_.append(b" ".join(compress(w, (~gone).tolist()) if gone_[-1] else w))
+                digests = [hashlib.sha256(x).hexdigest() for x in kept_]
+                texts_ = [x.decode() for x in kept_] if keep_text else [None] * len(words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone_, pa.int64()), pa.array(digests), pa.array(texts_, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     marked = base.join(found, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "spans", "copy")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import id_and_text
-from quernstone.llm.repeats import covered, repeated_spans, spans, twins
+from quernstone.llm.repeats import powers, removed, repeated_spans, spans, twins
 
 WIDTH = 200
 SAMPLED = 32
@@ -110,19 +110,6 @@ def leading(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
-_power_cache: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base to the power of 0 to n - 1, modulo 2**64; kept for the process up to the largest n so far."""
-    have = _power_cache.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        have = _power_cache[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def repeated_windows(pieces: list[bytes], sizes: np.ndarray, width: int, times: np.ndarray) -> np.ndarray:
     """For different pieces, each with its number of windows and of occurrences: which windows repeat, in a row."""
     total = int(sizes.sum())
@@ -147,8 +134,8 @@ def repeated_windows(pieces: list[bytes], sizes: np.ndarray, width: int, times:
     # the dictionary: distinct phrases by content
     scrambled = (data[:n].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     scrambled ^= scrambled >> np.uint64(32)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scrambled * _powers(_bases[0], n))))
-    named = (sums[stop] - sums[start]) * _powers(pow(_bases[0], -1, 1 << 64), n)[start] + size.astype(np.uint64) * np.uint64(_bases[1])
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scrambled * powers(_bases[0], n))))
+    named = (sums[stop] - sums[start]) * powers(pow(_bases[0], -1, 1 << 64), n)[start] + size.astype(np.uint64) * np.uint64(_bases[1])
     order = np.argsort(named)
     new = np.concatenate(([True], named[order[1:]] != named[order[:-1]]))
     first = order[new]
@@ -215,6 +202,9 @@ class ByteCutter:
         which = np.searchsorted(ends, start, side="right")
         return which, start - begins[which], n, (low[start] * np.uint64(_bases[1])).view(np.int64), several
 
+    def parts(self, text: bytes, most: int) -> list[tuple[int, bytes]]:
+        return [(a, text[a : a + most + self.width - 1]) for a in range(0, max(1, len(text) - self.width + 1), most)]
+
     def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(text, dtype=np.uint8)
         return rolling(data, self.width, _bases[0]), rolling(data, self.width, _bases[1])
@@ -222,14 +212,13 @@ class ByteCutter:
     def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         return [text[start : start + n + self.width - 1] for start, n in runs]
 
-    def repeated(self, group: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], n: np.ndarray) -> list[np.ndarray]:
+    def repeated(self, group: np.ndarray, pieces: list[bytes], n: np.ndarray) -> np.ndarray:
         at: dict[bytes, int] = {}
-        which = [at.setdefault(p, len(at)) for p in pieces]  # a piece's windows follow from its length
-        times = np.bincount(which)
+        which = np.array([at.setdefault(p, len(at)) for p in pieces])  # a piece's windows follow from its length
         unique = list(at)
         sizes = np.array([len(p) - self.width + 1 for p in unique])
-        flags = np.split(repeated_windows(unique, sizes, self.width, times), np.cumsum(sizes)[:-1])
-        return [flags[i] for i in which]
+        flags = repeated_windows(unique, sizes, self.width, np.bincount(which))
+        return flags[np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bool = True) -> DataFrame:
@@ -249,16 +238,17 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for doc_id, text, spans_, copy in zip(*[x.slice(at, 256).to_pylist() for x in batch.columns], strict=True):
-                    data = text.encode()
-                    n = len(data)
-                    gone = np.full(n, n >= width) if copy else covered(spans_, n - width + 1, width, n)
-                    first, _ = spans(gone)
-                    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes() if len(first) else data
-                    rows.append((doc_id, n, int(gone.sum()), len(first), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                part = batch.slice(at, 256)
+                texts_ = [x.as_py().encode() for x in part.column(1)]
+                sizes, gone_, runs_, kept_ = [len(x) for x in texts_], [], [], []
+                for data, gone, copy in zip(texts_, removed(part.column(2), sizes, width), part.column(3).to_pylist(), strict=True):
+                    if copy:
+                        gone = np.full(len(data), len(data) >= width)
+                    gone_.append(int(np.count_nonzero(gone)))
+                    runs_.append(len(spans(gone)[0]) if gone_[-1] else 0)
+                    kept_.append(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes() if gone_[-1] else data)
+                digests = [hashlib.sha256(x).hexdigest() for x in kept_]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone_, pa.int64()), pa.array(runs_, pa.int64()), pa.array(digests), pa.array(kept_ if keep_text else [None] * len(sizes), pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     marked = base.join(found, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "spans", "copy")
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
