@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import settle
 
-#: Runs of one owner that a task may hold.
-HOT = 20_000
 #: Rows that a task gathers, whole owners at a time, before it compares them.
 BLOCK = 8_192
 #: Bytes of text that are cut at a time.
@@ -37,6 +35,8 @@ class Cutter(Protocol):
     """How an operator sees texts."""
 
     first_stays: bool
+    #: Runs of one owner that a task may hold.
+    hot: int
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Runs of windows with one owner: which text, first window, number, owner, and whether the owner occurs at
@@ -177,10 +177,10 @@ def _compared(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def repeated_spans(texts: DataFrame, cutter: Cutter, path: str, hot: int = HOT) -> DataFrame:
+def repeated_spans(texts: DataFrame, cutter: Cutter, path: str) -> DataFrame:
     """doc_id, spans (array of start, n: windows that repeat) for texts (doc_id not null and unique, text)."""
     runs = settle(texts.mapInArrow(_runs(cutter), "owner long, doc_id long, start int, n int, weight int"), f"{path}/runs")
-    counts = runs.groupBy("owner").agg(F.sum("weight").alias("m"), F.count("*").alias("k")).filter("m > 1").select("owner", (F.col("k") > hot).alias("hot"))
+    counts = runs.groupBy("owner").agg(F.sum("weight").alias("m"), F.count("*").alias("k")).filter("m > 1").select("owner", (F.col("k") > cutter.hot).alias("hot"))
     run = F.struct("owner", "start", "n")
     shared = runs.select("owner", "doc_id", "start", "n").join(counts, "owner").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), run)).alias("cool"), F.collect_list(F.when(F.col("hot"), run)).alias("warm"))
     lists = settle(shared, f"{path}/shared")

@@ -172,6 +172,7 @@ class ByteCutter:
     """Windows of `width` bytes; all of equal windows go."""
 
     first_stays = False
+    hot = 20_000  # some 300 bytes each, with arrays of numbers for each byte
 
     def __init__(self, width: int = WIDTH) -> None:
         self.width, self.sampled = width, min(SAMPLED, max(1, width // 4))

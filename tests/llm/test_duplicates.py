@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quernstone.llm import chroma, components, repeats, simhash, substring_recompression, suffix_dedup
+from quernstone.llm import chroma, components, simhash, substring_recompression, suffix_dedup
 
 random.seed(11)
 VOCABULARY = [f"w{i}" for i in range(40)]
@@ -66,14 +66,14 @@ def brute_bytes(width):
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_repeated_words(spark, folder, monkeypatch, hot):
-    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (hot,))
+    monkeypatch.setattr(substring_recompression.WordCutter, "hot", hot)
     got = substring_recompression.remove_repeats(docs(spark), folder).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(20)
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_repeated_bytes(spark, folder, monkeypatch, hot):
-    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (hot,))
+    monkeypatch.setattr(suffix_dedup.ByteCutter, "hot", hot)
     got = suffix_dedup.remove_repeats(docs(spark), folder).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(200)
 
