@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe_codec, language_id, simhash, substring_recompression, template_decontamination
+from quernstone.llm import bpe_codec, language_id, minhash, substring_recompression, template_decontamination
 from quernstone.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,10 +20,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest id stays."""
-    found = simhash.near_duplicates(docs, shared_dir(spark))
-    stays = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    """Of documents that near copies link (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id stays."""
+    goes = minhash.near_copies(docs, shared_dir(spark)).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

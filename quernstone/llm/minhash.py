@@ -1,0 +1,142 @@
+"""Near copies by word shingles: MinHash bands find candidates, the exact Jaccard similarity decides.
+
+The words of a text (split at ASCII white space, ASCII letters in lower case) give a set of shingles of SHINGLE words;
+a text of fewer words is one shingle. Two texts link if their sets' Jaccard similarity is LEAST or more. They are compared
+if they agree in one of BANDS bands of ROWS minima, which a pair at LEAST misses with a chance of (1 - 0.8^5)^24, 7 in 100,000.
+
+Texts of the same words are one from the start. The texts of a band's value are compared with a few of them, the pivots,
+at first with one; from round to round with four times as many, and only where no chain of links joins the two already. It ends
+when each two are linked by a chain or compared, so the components are those of all compared pairs, while a large group
+of near copies costs little more than rows in proportion to its size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quernstone.llm.common import id_and_text, settle
+from quernstone.llm.components import components
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS = 24
+ROWS = 5
+#: Pairs of one pivot that are compared in one task.
+SHARE = 256
+_lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_draw = np.random.default_rng(42)
+_flip, _factor = (_draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Sorted different 64-bit hashes of the shingles."""
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(b" ".join(words), 42)], dtype=np.uint64)
+    data = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: len(words) - size] + 1).tolist()]
+    return np.unique(np.array([digest(data[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit number for each band."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        low = np.minimum(low, ((hashes[at : at + 1024, None] ^ _flip) * _factor).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def _words(text: pa.Scalar) -> list[bytes]:
+    return text.as_py().encode().translate(_lower).split()
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [xxhash.xxh128_digest(b" ".join(_words(x))) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["doc_id", "words"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            values = [bands(shingles(_words(x))) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.concatenate(values))], ["id", "value"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(_words(x)).view(np.int64) for x in part.column(1)], pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            n = len(x) + len(y)
+            if min(len(x), len(y)) < LEAST * max(len(x), len(y)):
+                keep.append(False)
+                continue
+            z = np.sort(np.concatenate((x, y)))
+            both = int((z[1:] == z[:-1]).sum())
+            keep.append(both >= LEAST * (n - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; a text that is in very many pairs is dealt out with them."""
+    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("s"))
+    mine = dealt.select("a", "s").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(mine, ["a", "s"])
+    return both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+
+
+def near_copies(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable) for each different doc_id of docs (doc_id, text).
+
+    Texts without words are all alike. Rows without doc_id are left out; rows that repeat one stand for each other.
+    path: a shared folder.
+    """
+    known = id_and_text(docs).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    keyed = settle(known.mapInArrow(_classes, "doc_id long, words binary"), f"{path}/keyed")
+    alike = keyed.groupBy("words").agg(F.min("doc_id").alias("id"))
+    same = settle(keyed.join(alike, "words").select("doc_id", "id").distinct(), f"{path}/same")
+    chosen = known.join(same.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    values = settle(chosen.mapInArrow(_bands, "id long, value long").distinct(), f"{path}/bands")
+    shared = values.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("id").alias("least")).filter("n > 1")
+    groups = shared.groupBy("n", "who", "least").agg(F.min("value").alias("value")).select("value")  # of bands with the same texts, one
+    left = settle(values.join(groups, "value").select("value", "id"), f"{path}/groups")
+    sets = settle(chosen.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), f"{path}/sets")
+    linked = same.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    for k in range(32):
+        # texts of a group by the component they are in; the largest needs no pivot, as all others look at it
+        label = settle(components(linked, f"{path}/{k}"), f"{path}/label-{k}")
+        at = left.select("value", "id").join(label, left["id"] == label["node"], "left").select("value", "id", F.coalesce("component", "id").alias("c"))
+        if k:
+            at = at.join(done, ["value", "id"], "left").select("value", "id", "c", F.coalesce("done", F.lit(False)).alias("done"))
+        else:
+            at = at.withColumn("done", F.lit(False))
+        sizes = at.groupBy("value", "c").agg(F.count("*").alias("m"))
+        main = sizes.groupBy("value").agg(F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("x"), F.count("*").alias("cs")).filter("cs > 1").select("value", (-F.col("x.c")).alias("main"))
+        at = settle(at.join(main, "value"), f"{path}/at-{k}")
+        waiting = at.filter("c <> main and not done")
+        turn = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("id"), "id"))
+        pivots = settle(waiting.withColumn("turn", turn).filter(F.col("turn") <= 4**k).select("value", F.col("id").alias("p"), F.col("c").alias("pc")), f"{path}/pivots-{k}")
+        if pivots.isEmpty():
+            break
+        pairs = at.join(pivots, "value").filter("c <> pc").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+        found = settle(_compared(pairs, sets), f"{path}/found-{k}")
+        linked = settle(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), f"{path}/linked-{k}")
+        asked = pivots.select("value", F.col("p").alias("id"), F.lit(True).alias("done"))
+        done = settle(asked if not k else done.unionByName(asked), f"{path}/done-{k}")
+    return same.join(label, same["doc_id"] == label["node"], "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).distinct()
