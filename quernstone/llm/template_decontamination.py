@@ -115,7 +115,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not len(at):
                 continue
             values = ["\x1f".join(words[i + j] for j in range(WINDOW) if slot[i + j]) for i in at.tolist()]
-            whole = xxhash.xxh64_intdigest(code.tobytes()) - (1 << 63)
+            first: dict[str, int] = {}
+            equal = np.array([first.setdefault(words[i], len(first)) for i in np.flatnonzero(slot).tolist()], dtype=np.int32)
+            whole = xxhash.xxh64_intdigest(code.tobytes() + equal.tobytes()) - (1 << 63)
             yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.int64()), pa.array([whole] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(hashes[at].view(np.int64)), pa.array(values), pa.array([len(at)] * len(at), pa.int64())], ["item_id", "template", "item_pos", "h", "item_values", "n_windows"])
 
 
@@ -129,8 +131,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, cover: float
     """doc_id, item_id, items, n_windows, n_matched, coverage, verbatim: a row for each document and item it holds.
 
     docs (doc_id, text), benchmark (item_id, text). A document holds an item if the offsets with consistent slots
-    match at least `cover` of the item's windows. item_id is the smallest of the items that have the same template,
-    items all of them; verbatim: no slot has another value than in that item. Items with fewer than WINDOW template
+    match at least `cover` of the item's windows. items: all items of one template whose slots are equal to each other
+    in the same places, which are as consistent with a document as one of them; verbatim: no slot has another value than
+    in one of them. item_id is the smallest of those, or of all if there is none. Items with fewer than WINDOW template
     words, or no window with LITERALS words that are no slots, cannot be recognised and match nothing; null texts
     and null ids likewise. Repeated document rows give one row. No items or no documents: no rows.
     """
@@ -161,8 +164,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, cover: float
     found = id_and_text(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, doc_pos long, h long, doc_values string")
     sides = parts.join(first.select("item_id", "items"), "item_id").select("item_id", "items", "item_pos", "h", "item_values", "n_windows")
     pairs = F.when(F.col("item_values") == "", F.array().cast("array<struct<item:string,doc:string>>")).otherwise(F.zip_with(F.split("item_values", "\x1f"), F.split("doc_values", "\x1f"), lambda x, y: F.struct(x.alias("item"), y.alias("doc"))))
-    matched = found.join(sides, "h").select("doc_id", "item_id", "items", "n_windows", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("offset"), pairs.alias("pairs"))
-    by_offset = matched.groupBy("doc_id", "item_id", "items", "n_windows", "offset").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")).filter(_consistent(F.col("pairs")))
-    whole = by_offset.groupBy("doc_id", "item_id", "items", "n_windows").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.every(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
-    out = whole.select("doc_id", "item_id", "items", "n_windows", F.size("places").cast("long").alias("n_matched"), (F.size("places") / F.col("n_windows")).alias("coverage"), "verbatim")
-    return out.filter(F.col("coverage") >= cover)
+    matched = found.join(sides, "h").select("doc_id", "item_id", "items", "n_windows", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("offset"), pairs.alias("pairs"), F.struct("item_pos", "h", "doc_values").alias("seen"))
+    by_offset = matched.groupBy("doc_id", "item_id", "items", "n_windows", "offset").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("seen").alias("seen")).filter(_consistent(F.col("pairs")))
+    whole = by_offset.groupBy("doc_id", "item_id", "items", "n_windows").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.every(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"), F.flatten(F.collect_list("seen")).alias("seen"))
+    held = settle(whole.withColumn("coverage", F.size("places") / F.col("n_windows")).filter(F.col("coverage") >= cover), f"{path}/held")
+    # a sibling with the same template may be the one that the document has word for word
+    asked = held.filter("not verbatim and size(items) > 1").select("doc_id", "item_id", "seen", F.explode("items").alias("other"))
+    seen = asked.select("doc_id", "item_id", "other", F.explode("seen").alias("x")).select("doc_id", "item_id", "other", "x.*")
+    values = parts.select(F.col("item_id").alias("other"), "item_pos", "h", "item_values")
+    same = seen.join(values, ["other", "item_pos", "h"], "left").groupBy("doc_id", "item_id", "other").agg(F.every(F.coalesce(F.col("item_values") == F.col("doc_values"), F.lit(False))).alias("same"))
+    fits = same.filter("same").groupBy("doc_id", "item_id").agg(F.min("other").alias("fits"))
+    out = held.join(fits, ["doc_id", "item_id"], "left")
+    return out.select("doc_id", F.coalesce("fits", "item_id").alias("item_id"), "items", "n_windows", F.size("places").cast("long").alias("n_matched"), "coverage", (F.col("verbatim") | F.col("fits").isNotNull()).alias("verbatim"))
