@@ -13,7 +13,7 @@ windows through that the join then drops.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +71,10 @@ class _Vocabulary(dict):
 _vocabulary = _Vocabulary()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of the template's words, which of them are slots, and the words as they stand.
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Hashes of the template's words, which of them are slots, which may be names, and the words as they stand.
 
-    A capitalised word is a name unless it begins a sentence; a unit is a slot if it follows a number.
+    A capitalised word is a name unless it begins a sentence, where it may be one; a unit is a slot if it follows a number.
     """
     tokens = _token.findall(text)
     at = _vocabulary.places(tokens)
@@ -84,8 +84,8 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     number, name, unit = kind == NUMBER, (kind == CAPITAL) & ~begins, (kind == SYMBOL) | (kind == UNIT) & after_number
     for which, k in ((number, NUMBER), (name, CAPITAL), (unit, UNIT)):
         code = np.where(which, np.uint64(_slot[k]), code)
-    kept = kind != END
-    return code[kept], (number | name | unit)[kept], [tokens[i] for i in np.flatnonzero(kept)] if not kept.all() else tokens
+    kept, maybe = kind != END, (kind == CAPITAL) & begins
+    return code[kept], (number | name | unit)[kept], maybe[kept], [tokens[i] for i in np.flatnonzero(kept)] if not kept.all() else tokens
 
 
 def windows(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +101,25 @@ def windows(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray,
     return acc ^ (acc >> np.uint64(29)), total[size:] - total[:m] >= min(LITERALS, size)
 
 
+def spots(code: np.ndarray, slot: np.ndarray, maybe: np.ndarray, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]]:
+    """Places of windows, their hashes and a way to their slots' values: with sentence beginnings as words, then as names.
+
+    The second has only windows with a capitalised beginning. Both sides of the join have both, so neither needs to know
+    whether the other's word is a name.
+    """
+    for second in (False, True):
+        if second:
+            if not maybe.any():
+                return
+            code, slot = np.where(maybe, np.uint64(_slot[CAPITAL]), code), slot | maybe
+        hashes, enough = windows(code, slot, WINDOW)
+        if second and len(hashes):
+            total = np.concatenate(([0], np.cumsum(maybe)))
+            enough = enough & (total[WINDOW:] > total[: len(hashes)])
+        at = np.flatnonzero(enough)
+        yield at, hashes[at], lambda which, slot=slot: ["\x1f".join(words[i + j] for j in range(WINDOW) if slot[i + j]) for i in which.tolist()]
+
+
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64((1 << MAP_BITS) - 1)
     return (hashes & mask).astype(np.int64), (hashes >> np.uint64(40) & mask).astype(np.int64)
@@ -109,16 +128,17 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            code, slot, words = template(text)
-            hashes, enough = windows(code, slot, WINDOW)
-            at = np.flatnonzero(enough)
-            if not len(at):
+            code, slot, maybe, words = template(text)
+            found = [x for x in spots(code, slot, maybe, words) if len(x[0])]
+            if not found:
                 continue
-            values = ["\x1f".join(words[i + j] for j in range(WINDOW) if slot[i + j]) for i in at.tolist()]
             first: dict[str, int] = {}
-            equal = np.array([first.setdefault(words[i], len(first)) for i in np.flatnonzero(slot).tolist()], dtype=np.int32)
+            equal = np.array([first.setdefault(words[i], len(first)) for i in np.flatnonzero(slot | maybe).tolist()], dtype=np.int32)
             whole = xxhash.xxh64_intdigest(code.tobytes() + equal.tobytes()) - (1 << 63)
-            yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.int64()), pa.array([whole] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(hashes[at].view(np.int64)), pa.array(values), pa.array([len(at)] * len(at), pa.int64())], ["item_id", "template", "item_pos", "h", "item_values", "n_windows"])
+            n = len(np.unique(np.concatenate([at for at, *_ in found])))
+            for at, hashes, values in found:
+                k = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * k, pa.int64()), pa.array([whole] * k, pa.int64()), pa.array(at, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(values(at)), pa.array([n] * k, pa.int64())], ["item_id", "template", "item_pos", "h", "item_values", "n_windows"])
 
 
 
@@ -153,13 +173,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, cover: float
         known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                code, slot, words = template(text.as_py())
-                hashes, enough = windows(code, slot, WINDOW)
-                a, b = _bits(hashes)
-                at = np.flatnonzero(enough & known[a] & known[b])
-                if len(at):
-                    values = ["\x1f".join(words[i + j] for j in range(WINDOW) if slot[i + j]) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(hashes[at].view(np.int64)), pa.array(values)], ["doc_id", "doc_pos", "h", "doc_values"])
+                code, slot, maybe, words = template(text.as_py())
+                for at, hashes, values in spots(code, slot, maybe, words):
+                    a, b = _bits(hashes)
+                    hit = np.flatnonzero(known[a] & known[b])
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(hit), pa.int64()), pa.array(at[hit], pa.int64()), pa.array(hashes[hit].view(np.int64)), pa.array(values(at[hit]))], ["doc_id", "doc_pos", "h", "doc_values"])
 
     found = id_and_text(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, doc_pos long, h long, doc_values string")
     sides = parts.join(first.select("item_id", "items"), "item_id").select("item_id", "items", "item_pos", "h", "item_values", "n_windows")
