@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe_codec, language_id, minhash, substring_recompression, template_decontamination
+from quernstone.llm import bpe_codec, language_id, simhash, substring_recompression, template_decontamination
 from quernstone.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,9 +20,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near copies link (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id stays."""
-    goes = minhash.near_copies(docs, shared_dir(spark)).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that near copies link (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id stays.
+
+    Rows with equal doc_id and text are one; rows without doc_id all stay.
+    """
+    goes = simhash.near_copies(docs, shared_dir(spark)).filter("doc_id <> component_id").select("doc_id")
+    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    again = docs.filter("doc_id is not null").groupBy("doc_id", sha.alias("sha")).count().filter("count > 1").select("doc_id").distinct()
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
