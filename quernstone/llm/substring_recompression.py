@@ -17,12 +17,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import id_and_text
-from quernstone.llm.repeats import powers, removed, repeated_spans, twins
+from quernstone.llm.repeats import distinct_texts, powers, removed, repeated_spans, with_part
 
 WIDTH = 20
 ROUNDS = 4
@@ -34,21 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _white = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _codes = mix(np.arange(1, 257, dtype=np.uint64))
 _base = 0x9E3779B97F4A7C15
@@ -100,10 +84,10 @@ class WordCutter:
     """Windows of `width` words, parted at ASCII white space; the first of equal windows stays."""
 
     first_stays = True
-    hot = 200_000  # some 200 bytes each, compared by a set
+    hot = 1 << 20  # some 7 MB of text, compared by a set
 
     def __init__(self, width: int = WIDTH, rounds: int = ROUNDS) -> None:
-        self.width, self.rounds = width, rounds
+        self.width, self.rounds, self.least = width, rounds, 2 * width - 1
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         hashes, counts = word_names(texts)
@@ -146,15 +130,9 @@ class WordCutter:
         step = max(1, most // 8)
         return [(a, b" ".join(words[a : a + step + self.width - 1])) for a in range(0, max(1, len(words) - self.width + 1), step)]
 
-    def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        h = word_hashes(text.split())
-        out = []
-        for base in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-            acc = np.zeros(len(h) - self.width + 1, dtype=np.uint64)
-            for j in range(self.width):
-                acc = acc * base + mix(h[j : j + len(acc)] ^ base)
-            out.append(mix(acc))
-        return out[0], out[1]
+    def windows(self, text: bytes, start: int, n: int) -> list[bytes]:
+        words = text.split()
+        return [b" ".join(words[i : i + self.width]) for i in range(start, start + n)]
 
     def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         words = text.split()
@@ -203,33 +181,35 @@ def range_max(value: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) ->
 
 
 def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept for each row of docs (doc_id, text).
+    """doc_id, n_words, n_removed, kept_sha256, kept, part for each row of docs (doc_id, text).
 
     A word goes if a window of `width` words covers it whose words also start earlier: in a smaller doc_id, or
     before it in the same document. Windows are judged on the input. kept: the words left, one space between (null
-    unless keep_text). Null and empty texts have no words. doc_id must be unique; rows with a null doc_id lose
-    nothing and no other row loses anything to them. An empty table gives none.
+    unless keep_text). Null and empty texts have no words. Rows with equal doc_id and text are one document, which
+    each of them stands for; different texts of one doc_id are documents of their own, in the order of a hash of the
+    text (31 bits). Rows with a null doc_id lose nothing and no other row loses anything to them. An empty table gives none.
     """
-    base = id_and_text(docs)
-    known = base.filter("doc_id is not null")
-    later = twins(known, path).filter("doc_id <> rep").select("doc_id")
-    found = repeated_spans(known.join(later, "doc_id", "left_anti"), WordCutter(width), path)
-    copies = later.withColumn("copy", F.lit(True))
+    base = with_part(id_and_text(docs))
+    cutter = WordCutter(width)
+    texts, notes = distinct_texts(base, cutter.least, path)
+    found = repeated_spans(texts, cutter, path)
+    copies = notes.filter("doc_id <> rep_id or part <> rep_part").select("doc_id", "part", F.lit(True).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words = [x.as_py().encode().split() for x in part.column(1)]
+                some = batch.slice(at, 256)
+                words = [x.as_py().encode().split() for x in some.column(1)]
                 sizes, gone_, kept_ = [len(w) for w in words], [], []
-                for w, gone, copy in zip(words, removed(part.column(2), sizes, width), part.column(3).to_pylist(), strict=True):
+                for w, gone, copy in zip(words, removed(some.column(2), sizes, width), some.column(3).to_pylist(), strict=True):
                     if copy:
                         gone = np.full(len(w), len(w) >= width)
                     gone_.append(int(np.count_nonzero(gone)))
                     kept_.append(b" ".join(compress(w, (~gone).tolist()) if gone_[-1] else w))
                 digests = [hashlib.sha256(x).hexdigest() for x in kept_]
                 texts_ = [x.decode() for x in kept_] if keep_text else [None] * len(words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone_, pa.int64()), pa.array(digests), pa.array(texts_, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(gone_, pa.int64()), pa.array(digests), pa.array(texts_, pa.string()), some.column(4)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "part"])
 
-    marked = base.join(found, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "spans", "copy")
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    key = ["doc_id", "part"]
+    marked = base.join(found, key, "left").join(copies, key, "left").select("doc_id", "text", "spans", "copy", "part")
+    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, part int")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import id_and_text
-from quernstone.llm.repeats import powers, removed, repeated_spans, spans, twins
+from quernstone.llm.repeats import distinct_texts, powers, removed, repeated_spans, spans, with_part
 
 WIDTH = 200
 SAMPLED = 32
@@ -172,10 +172,10 @@ class ByteCutter:
     """Windows of `width` bytes; all of equal windows go."""
 
     first_stays = False
-    hot = 20_000  # some 300 bytes each, with arrays of numbers for each byte
+    hot = 6 << 20  # sorted with some 100 bytes of numbers for each
 
     def __init__(self, width: int = WIDTH) -> None:
-        self.width, self.sampled = width, min(SAMPLED, max(1, width // 4))
+        self.width, self.least, self.sampled = width, width, min(SAMPLED, max(1, width // 4))
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -206,9 +206,8 @@ class ByteCutter:
     def parts(self, text: bytes, most: int) -> list[tuple[int, bytes]]:
         return [(a, text[a : a + most + self.width - 1]) for a in range(0, max(1, len(text) - self.width + 1), most)]
 
-    def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(text, dtype=np.uint8)
-        return rolling(data, self.width, _bases[0]), rolling(data, self.width, _bases[1])
+    def windows(self, text: bytes, start: int, n: int) -> list[bytes]:
+        return [text[i : i + self.width] for i in range(start, start + n)]
 
     def pieces(self, text: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         return [text[start : start + n + self.width - 1] for start, n in runs]
@@ -227,14 +226,16 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
 
     A byte of a text's UTF-8 goes if a string of `width` bytes covers it that also starts anywhere else, in this
     document or another. Strings are judged on the input and lie in one document. n_spans: maximal runs of removed
-    bytes. kept: the bytes left (null unless keep_text). Null and empty texts have no bytes. doc_id must be unique;
-    rows with a null doc_id lose nothing and no other row loses anything to them. An empty table gives none.
+    bytes. kept: the bytes left (null unless keep_text). Null and empty texts have no bytes. Rows with equal doc_id
+    and text are one document, which each of them stands for; different texts of one doc_id (told apart by 31 bits of a
+    hash) are documents of their own. Rows with a null doc_id lose nothing and no other row loses anything to them. An
+    empty table gives none.
     """
-    base = id_and_text(docs)
-    known = base.filter("doc_id is not null")
-    same = twins(known, path)
-    found = repeated_spans(known.join(same.filter("doc_id <> rep"), "doc_id", "left_anti"), ByteCutter(width), path)
-    copies = same.select("doc_id", F.lit(True).alias("copy"))
+    base = with_part(id_and_text(docs))
+    cutter = ByteCutter(width)
+    texts, notes = distinct_texts(base, cutter.least, path)
+    found = repeated_spans(texts, cutter, path)
+    copies = notes.select("doc_id", "part", F.lit(True).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,5 +252,6 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
                 digests = [hashlib.sha256(x).hexdigest() for x in kept_]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone_, pa.int64()), pa.array(runs_, pa.int64()), pa.array(digests), pa.array(kept_ if keep_text else [None] * len(sizes), pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    marked = base.join(found, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "spans", "copy")
+    key = ["doc_id", "part"]
+    marked = base.join(found, key, "left").join(copies, key, "left").select("doc_id", "text", "spans", "copy")
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

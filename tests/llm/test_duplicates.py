@@ -64,14 +64,14 @@ def brute_bytes(width):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [1 << 20, 2])
 def test_repeated_words(spark, folder, monkeypatch, hot):
     monkeypatch.setattr(substring_recompression.WordCutter, "hot", hot)
     got = substring_recompression.remove_repeats(docs(spark), folder).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(20)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [1 << 20, 2])
 def test_repeated_bytes(spark, folder, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup.ByteCutter, "hot", hot)
     got = suffix_dedup.remove_repeats(docs(spark), folder).collect()
@@ -88,6 +88,24 @@ def test_repeats_of_odd_rows(spark, odd, nothing, folder):
     assert [r.n_removed for r in substring_recompression.remove_repeats(null_ids, f"{folder}/e").collect()].count(0) >= 2
 
 
+def test_repeats_of_repeated_rows(spark, folder):
+    t, u = " ".join(f"word{i}" for i in range(46)), " ".join(f"vocal{i}" for i in range(50))
+    rows = [(1, t), (1, t), (2, u + " end"), (3, t), (4, u), (4, t + " more"), (4, t + " more")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, hot in enumerate((1 << 20, 2)):
+        substring_recompression.WordCutter.hot, before = hot, substring_recompression.WordCutter.hot
+        suffix_dedup.ByteCutter.hot, bytes_before = hot, suffix_dedup.ByteCutter.hot
+        try:
+            words = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_recompression.remove_repeats(table, f"{folder}/a{k}").collect())
+            data = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(table, f"{folder}/b{k}").collect())
+        finally:
+            substring_recompression.WordCutter.hot, suffix_dedup.ByteCutter.hot = before, bytes_before
+        assert words == [(1, 46, 0), (1, 46, 0), (2, 51, 0), (3, 46, 46), (4, 47, 46), (4, 47, 46), (4, 50, 50)]
+        n, m = len(t), len(u)
+        gone = lambda x, width=200: x if x >= width else 0
+        assert data == sorted([(1, n, 0 if n < 200 else n)] * 2 + [(2, m + 4, gone(m)), (3, n, gone(n)), (4, m, gone(m)), *[(4, n + 5, gone(n))] * 2])
+
+
 def test_symbols_depend_on_content_alone():
     cutter, owner = substring_recompression.WordCutter(), {}
     texts = [(t or "").encode() for t in TEXTS]
