@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import bpe_codec, language_id, simhash, substring_recompression, template_decontamination
 from quernstone.llm.common import shared_dir, table
+from quernstone.llm.repeats import with_part
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,9 +36,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier window go; a text that loses none stays as it is."""
-    found = substring_recompression.remove_repeats(docs, shared_dir(spark)).filter("n_removed > 0").select("doc_id", F.col("kept").alias("kept_text"))
-    text = F.coalesce("kept_text", "text")
-    out = docs.join(found, "doc_id", "left").withColumn("text", text)
+    key = ["doc_id", "part"]  # a doc_id may have several texts
+    found = substring_recompression.remove_repeats(docs, shared_dir(spark)).filter("n_removed > 0").select(*key, F.col("kept").alias("kept_text")).dropDuplicates(key)
+    out = with_part(docs).join(found, key, "left").withColumn("text", F.coalesce("kept_text", "text"))
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
