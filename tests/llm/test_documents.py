@@ -72,6 +72,21 @@ def test_pipeline(spark, sf_dir):
 
 def test_stages_take_odd_rows(spark, sf_dir, odd):
     docs = odd.select("doc_id", "text", "lang", "source", odd.doc_id.alias("n_chars"))
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() > 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_does_not_multiply_repeated_rows(spark, sf_dir):
+    t = " ".join(f"word{i}" for i in range(46))
+    rows = [(1, t), (1, t), (2, "quite another text of a few words"), (3, t + " end"), (4, "one"), (4, "two " + t[::-1])]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        base = shared_dir(spark)
+        stage(spark, docs, sf_dir).write.parquet(base)
+        docs = spark.read.parquet(base)
+        counts.append(docs.count())
+        if "text" in docs.columns:
+            assert [r.text for r in docs.collect() if r.doc_id == 1] == [t]
+    assert counts == [4, 4, 4, 4]
