@@ -64,7 +64,10 @@ def to_java(pattern: str, flags: str = "") -> str:
     pattern = pattern.removeprefix("***:")
     if pattern.startswith("(?") and (end := pattern.find(")")) > 2 and pattern[2:end].isalpha():
         flags, pattern = flags + pattern[2:end], pattern[end + 1 :]
-    fold, lines, expanded = flags.rfind("i") > flags.rfind("c"), any(f in flags for f in "nmp"), "x" in flags
+    if "q" in flags:
+        return to_java("***=" + pattern, flags.replace("q", ""))
+    # n and m part lines everywhere, p only where a character is matched, w only at the anchors
+    fold, lines, dots, expanded = flags.rfind("i") > flags.rfind("c"), any(f in flags for f in "nmw"), any(f in flags for f in "nmp"), "x" in flags
     out: list[str] = []
     # open parentheses: the kind, and how many capturing groups of the dialect were open before
     stack: list[str] = []
@@ -75,7 +78,7 @@ def to_java(pattern: str, flags: str = "") -> str:
         c = pattern[i]
         if c == "[":
             text, i = _bracket(pattern, i)
-            out.append(text)
+            out.append("(?:(?!\\n)" + text + ")" if dots and text.startswith("[^") else text)
             atom = not text.startswith("(?")
         elif c == "(":
             kind = next((k for k in ("(?:", "(?=", "(?!", "(?<=", "(?<!") if pattern.startswith(k, i)), "(")
@@ -105,6 +108,8 @@ def to_java(pattern: str, flags: str = "") -> str:
             elif e in "123456789":
                 if any(k in ("(?=", "(?!", "(?<=", "(?<!") for k in stack):
                     raise RegexError("invalid backreference number")
+                if pattern[i + 2 : i + 3].isdigit() and int(pattern[i + 1 : i + 3]) <= len(groups):  # two digits, if so many groups are there
+                    e, i = pattern[i + 1 : i + 3], i + 1
                 if int(e) > len(groups):
                     raise RegexError("invalid backreference number")
                 out.append(f"\\{groups[int(e) - 1]}(?:)")
@@ -133,7 +138,7 @@ def to_java(pattern: str, flags: str = "") -> str:
             out.append("(?m:^)" if lines else "\\A")
             i, atom = i + 1, False
         elif c == ".":
-            out.append("[^\\n]" if lines else ".")
+            out.append("[^\\n]" if dots else ".")
             i, atom = i + 1, True
         elif c == "|":
             out.append(c)

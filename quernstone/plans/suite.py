@@ -72,6 +72,8 @@ class Query:
     sql: str
     oracle: str | None = None
     tables: list[str] = field(default_factory=list)
+    #: Values of named parameters (:name); a caller may give others.
+    args: dict[str, object] = field(default_factory=dict)
 
     def text(self) -> str:
         return expand(with_fixtures(self.sql))
@@ -82,11 +84,11 @@ class Query:
             sql = re.sub(pattern, word, sql)
         return sql
 
-    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def __call__(self, spark: SparkSession, sf_dir: str, **args: object) -> DataFrame:
         sql = self.text()
         for name in names_in(sql, TABLES):
             read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return spark.sql(sql, args={**self.args, **args} or None)
 
 
 def queries(found: dict[str, Query]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ from quernstone.plans.suite import FIXTURES, Query
 FIXTURES["operands"] = """SELECT cast(l_orderkey * 8 + l_linenumber as bigint) AS id, cast((l_partkey % 150) - 75 as smallint) AS a2, cast((l_suppkey % 90) + 1 as smallint) AS b2, cast((l_partkey * 31 % 20000) - 10000 as int) AS a4,
     cast(l_suppkey * 7 % 300 + 1 as int) AS b4, cast(l_orderkey * 1000003 - 500000000 as bigint) AS a8, cast(l_partkey * 17 + 1 as bigint) AS b8, cast(l_extendedprice as float) AS f4, cast(l_quantity + 0.5 as float) AS g4,
     l_extendedprice AS f8, l_quantity - 25.5 AS g8, cast(l_extendedprice as decimal(15,2)) AS n1, cast(l_quantity as decimal(10,3)) AS n2, l_shipdate AS ts, cast(l_shipdate as date) AS d, l_returnflag AS s1, l_linestatus AS s2,
-    l_returnflag = 'A' AS p, l_linestatus = 'O' AS q FROM lineitem WHERE l_orderkey % 5 = 0"""
+    l_returnflag = 'A' AS p, l_linestatus = 'O' AS q FROM lineitem"""
 
 _signs = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
 _widest = {"2": "smallint", "4": "int", "8": "bigint"}
@@ -40,7 +40,7 @@ for _x in "248":
     _q[f"bits_int{_x}"] = Query(f"SELECT id, cast(a{_x} & b{_x} as {_kind}) AS and_, cast(a{_x} | b{_x} as {_kind}) AS or_, cast(a{_x} ^ b{_x} as {_kind}) AS xor_, cast(~a{_x} as {_kind}) AS not_ FROM operands", f"SELECT id, a{_x} & b{_x} AS and_, a{_x} | b{_x} AS or_, xor(a{_x}, b{_x}) AS xor_, ~a{_x} AS not_ FROM operands")
     _q[f"shift_int{_x}"] = Query(f"SELECT id, cast(shiftleft(cast(b{_x} as {'bigint' if _x == '8' else 'int'}), 3) as bigint) AS shl, cast(shiftright(cast(a{_x} as {'bigint' if _x == '8' else 'int'}), 2) as bigint) AS shr FROM operands", f"SELECT id, cast(b{_x} as bigint) << 3 AS shl, cast(a{_x} as bigint) >> 2 AS shr FROM operands")
 for _a, _b, _n in (("f4", "g4", "44"), ("f8", "g8", "88"), ("f4", "g8", "48"), ("f8", "g4", "84")):
-    _q[f"float{_n}"] = Query(f"SELECT id, round(cast({_a} as double) + {_b}, 3) AS pl, round(cast({_a} as double) - {_b}, 3) AS mi, round(cast({_a} as double) * {_b}, 6) AS mul, round(cast({_a} as double) / {_b}, 4) AS div_, abs({_b}) AS abs_, -{_b} AS um FROM operands")
+    _q[f"float{_n}"] = Query(f"SELECT id, cast({_a} as double) + {_b} AS pl, cast({_a} as double) - {_b} AS mi, cast({_a} as double) * {_b} AS mul, cast({_a} as double) / {_b} AS div_, abs({_b}) AS abs_, -{_b} AS um FROM operands")
     _q[f"cmp_float{_n}"] = Query(f"SELECT id, {_compare(_a, _b)} FROM operands")
 _nan = "(VALUES (1, cast('NaN' as double), 1.0e0), (2, cast('NaN' as double), cast('NaN' as double)), (3, 0.0e0, -0.0e0), (4, cast('Infinity' as double), cast('NaN' as double)), (5, cast('-Infinity' as double), 1.0e0), (6, CAST(NULL as double), 1.0e0)) AS t(id, x, y)"
 SUITE = {

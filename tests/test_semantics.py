@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.functions.regex import RegexError, to_java
 from quernstone.functions.scalar import half_even, int_div, interval_key, masked_shift, strict_float, three_way
@@ -48,3 +49,30 @@ def test_only_entry_guards_the_llm_subpackage():
     for f in (root / "quernstone").rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"quernstone\.llm|corpus_pipeline", f.read_text()), f
+
+
+@pytest.mark.parametrize(
+    ("pattern", "flags", "text", "want"),
+    [("^b", "", "a\nb", False), ("^b", "n", "a\nb", True), ("^b", "w", "a\nb", True), ("^b", "p", "a\nb", False), ("a.b", "", "a\nb", True), ("a.b", "p", "a\nb", False), ("a.b", "w", "a\nb", True), ("a[^x]b", "n", "a\nb", False), ("a[^x]b", "", "a\nb", True), ("(?q)a.b", "", "a.b", True), ("(?q)a.b", "", "axb", False), ("(a)(b)(c)(d)(e)(f)(g)(h)(i)(j)\\10", "", "abcdefghijj", True)],
+)
+def test_regex_flags(spark, pattern, flags, text, want):
+    from quernstone.functions.regex import to_java
+
+    assert spark.createDataFrame([(text,)], "s string").select(F.col("s").rlike(to_java(pattern, flags))).first()[0] is want
+
+
+def test_json_types_and_keys(spark):
+    from quernstone.functions.json import contains, is_json
+
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        rows = ['{"a": 42}', '{"a": "42"}', '{"a": 42.0}', '{"a": true}', '{"a": null}', '{"b": 1}', '{"a": 1, "a": 2}', '{"x": {"a": 1, "a": 2}}', "[1]", "nope", None]
+        df = spark.createDataFrame([(r,) for r in rows], "s string")
+        out = df.select("s", contains(F.col("s"), {"a": 42}).alias("n"), contains(F.col("s"), {"a": "42"}).alias("t"), is_json(F.col("s")).alias("j"), is_json(F.col("s"), unique=True).alias("u")).collect()
+        assert [r.n for r in out] == [True, False, True, False, False, False, False, False, False, False, None]
+        assert [r.t for r in out] == [False, True, *[False] * 8, None]
+        assert [r.j for r in out] == [*[True] * 9, False, None]
+        assert [r.u for r in out] == [*[True] * 6, False, False, True, False, None]
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
