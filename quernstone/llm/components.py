@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
     many links costs rows, not a collected list. Once few links are left, one task finishes them.
     """
     at = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{path}/links-0")
-    for k in range(1, 100):
+    for k in itertools.count(1):  # ends when a round changes nothing, which stars do after some log(nodes) rounds
         n = at.count()
         if n <= ONE_TASK:
             return at.coalesce(1).mapInArrow(_union, "node long, component long")

@@ -68,21 +68,23 @@ def has_letter(text: str) -> bool:
 
 
 class LanguageFilter:
-    """The bit-sliced filter. counts: occurrences by language and bin."""
+    """The bit-sliced filter, one table of words for each 64 languages. counts: for each language its bins and their occurrences."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
-        if len(languages) > 64:
-            raise ValueError("a filter word has 64 bits")
+    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.languages = languages
-        kind = next(k for b, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= b)
-        self.words = np.zeros(1 << FILTER_BITS, dtype=kind)
-        totals = counts.sum(axis=1, keepdims=True)
-        rates = counts / np.maximum(totals, 1)
-        member = (rates >= SHARE * rates.max(axis=0, keepdims=True, initial=0)) & (counts > 0) & (counts.sum(axis=0, keepdims=True) >= LEAST)
-        for i in range(len(languages)):
-            for at in self.positions(np.flatnonzero(member[i]).astype(np.uint64)):
-                self.words[at] |= kind(1 << i)
-        fill = np.array([np.mean((self.words >> kind(i)) & kind(1)) for i in range(len(languages))])
+        highest, seen = np.zeros(1 << COUNT_BITS), np.zeros(1 << COUNT_BITS)
+        for bins, n in counts:
+            highest[bins] = np.maximum(highest[bins], n / max(1, n.sum()))
+            seen[bins] += n
+        kind = next((k for b, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= b), np.uint64)
+        self.tables = [np.zeros(1 << FILTER_BITS, dtype=kind) for _ in range(-(-len(languages) // 64))]
+        fill = np.zeros(len(languages))
+        for i, (bins, n) in enumerate(counts):
+            member = (n / max(1, n.sum()) >= SHARE * highest[bins]) & (n > 0) & (seen[bins] >= LEAST)
+            words, bit = self.tables[i // 64], kind(1 << i % 64)
+            for at in self.positions(bins[member].astype(np.uint64)):
+                words[at] |= bit
+            fill[i] = np.mean(words & bit != 0)
         self.false = fill**HASHES
 
     @staticmethod
@@ -92,12 +94,15 @@ class LanguageFilter:
         b = (a * np.uint64(0x94D049BB133111EB)) >> np.uint64(20) | np.uint64(1)
         return [((a + np.uint64(i) * b) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for i in range(HASHES)]
 
-    def sets(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the bits of all languages that contain it."""
+    def sets(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the bits of all languages that contain it, by 64 languages."""
         first, *rest = self.positions(hashes >> np.uint64(64 - COUNT_BITS))
-        out = self.words[first]
-        for at in rest:
-            out = out & self.words[at]
+        out = []
+        for words in self.tables:
+            found = words[first]
+            for at in rest:
+                found = found & words[at]
+            out.append(found)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -108,13 +113,13 @@ class LanguageFilter:
         n = len(hashes)
         if n == 0:
             hashes, n = grams(text + " " + text), 1
-        found = np.bincount(self.sets(hashes).astype(np.int64), minlength=1) if len(self.languages) <= 16 else None
-        if found is not None:
+        sets = self.sets(hashes)
+        if len(self.languages) <= 16:
+            found = np.bincount(sets[0].astype(np.int64), minlength=1)
             which = np.arange(len(found))
             hits = np.array([found[(which >> i) & 1 == 1].sum() for i in range(len(self.languages))], dtype=float)
         else:
-            sets = self.sets(hashes).astype(np.uint64)
-            hits = np.array([np.count_nonzero(sets >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))], dtype=float)
+            hits = np.array([np.count_nonzero(sets[i // 64] >> sets[i // 64].dtype.type(i % 64) & sets[i // 64].dtype.type(1)) for i in range(len(self.languages))], dtype=float)
         right = np.clip((hits - n * self.false) / np.maximum(1 - self.false, 1e-9), 0, None)
         best = int(np.argmax(right))
         total = right.sum()
@@ -124,8 +129,8 @@ class LanguageFilter:
 def fit(train: DataFrame) -> LanguageFilter:
     """Learns from all rows of train (text, lang); rows without text or lang are left out.
 
-    What comes to the driver is a count for each language and bin: at most 64 times 2**COUNT_BITS numbers,
-    whatever the size of the table, sent packed by language and slice of bins.
+    What comes to the driver is a count for each language and bin that occurs: at most 2**COUNT_BITS numbers a
+    language, whatever the size of the table, sent packed by language and slice of bins.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +149,10 @@ def fit(train: DataFrame) -> LanguageFilter:
     slices = rows.groupBy("lang", F.shiftright("bin", 14).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("counts")).select("lang", F.col("counts.bin").alias("bins"), F.col("counts.n").alias("ns"))
     got = slices.toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
-    counts = np.zeros((len(languages), 1 << COUNT_BITS))
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {x: [] for x in languages}
     for lang, bins, ns in zip(got.column("lang").to_pylist(), got.column("bins"), got.column("ns"), strict=True):
-        counts[languages.index(lang), bins.values.to_numpy()] = ns.values.to_numpy()
+        parts[lang].append((bins.values.to_numpy(), ns.values.to_numpy()))
+    counts = [tuple(np.concatenate(x) for x in zip(*parts[lang], strict=True)) for lang in languages]
     return LanguageFilter(languages, counts)
 
 
@@ -154,7 +160,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text; nothing else is read).
 
     A text that is null or has no letter is `und` with score 0; so is every text if nothing was learned.
-    The model goes to the executors as a broadcast value of 2**FILTER_BITS words, whatever the corpus.
+    The model goes to the executors as a broadcast value of 2**FILTER_BITS words for each 64 languages, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -25,13 +25,10 @@ def test_language_of_odd_rows(odd, nothing):
 
 
 def test_filter_returns_sets():
-    counts = np.zeros((3, 1 << language_id.COUNT_BITS))
-    counts[0, 5] = counts[1, 5] = 100
-    counts[2, 9] = 100
-    counts[:, 70] = 50
+    counts = [(np.array([5, 70]), np.array([100, 50])), (np.array([5, 70]), np.array([100, 50])), (np.array([9, 70]), np.array([100, 50]))]
     model = language_id.LanguageFilter(["a", "b", "c"], counts)
     at = np.array([5, 9, 70], dtype=np.uint64) << np.uint64(64 - language_id.COUNT_BITS)
-    assert model.sets(at).tolist() == [0b011, 0b100, 0b111]
+    assert [x.tolist() for x in model.sets(at)] == [[0b011, 0b100, 0b111]]
 
 
 def test_quality_on_held_out_labels(spark, sf_dir):
@@ -55,3 +52,14 @@ def test_pairs_learn_what_single_features_cannot(seed):
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = quality_gam.train(x, y)
     assert (0, 1) in model.pairs and np.mean((model.score(x) > 0.5) == y) > 0.9
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[(k * 7 + j * (k % 5 + 1)) % 26] for j in range(6)) + letters[k % 26] + letters[k // 26]
+    rows = [(k, f"{word(k)} {word(k)[::-1]} " * 12, f"l{k:03d}") for k in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert len(model.languages) == 130 and len(model.tables) == 3
+    assert sum(got[k] == lang for k, _, lang in rows) >= 125
