@@ -28,8 +28,12 @@ HEAVY = 64
 SHINGLE = 5
 LEAST = 0.8
 SEGMENTS = 24
-#: Differing bits of 112 up to which texts are compared; a pair at LEAST has 17, give or take 4.
-FAR = 33
+#: Texts of a ball's point up to which all its pairs are looked at; of more, those with some of its texts.
+CROWD = 16
+#: Words of a fingerprint that go with a ball's point, and differing bits of them up to which texts are compared: of 304, a
+#: pair at LEAST has 46, give or take 6.
+PRINTS = ["f0", "f1", "f2", "f3", "f4"]
+FAR = 68
 #: Steps of the number of shingles from 4 to 5, the most that LEAST allows; the fingerprint's last 16 bits hold it in such steps.
 STEPS = 64
 #: Pairs of one text that are compared in one task.
@@ -123,15 +127,15 @@ def _tallies(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def ball_points(sets: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
-    """For each set of hashes the points of its segments' balls, as signed numbers, and 112 bits of its fingerprint with its size."""
+def ball_points(sets: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """For each set of hashes the points of its segments' balls, as signed numbers, and 304 bits of its fingerprint with its size."""
     words = -(-SEGMENTS * width // 64)
     tally = np.stack([_tallies(x, words) for x in sets])
     sizes = np.array([len(x) for x in sets])[:, None]
     bits, doubt = tally * 2 > sizes, np.abs(tally * 2 - sizes - 0.5)
-    whole = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64)
+    whole = np.packbits(bits[:, : 64 * len(PRINTS)], axis=1, bitorder="little").view(np.int64)
     scale = np.minimum(np.rint(STEPS * np.log(sizes[:, 0]) / np.log(1.25)), (1 << 15) - 1).astype(np.int64)
-    whole[:, 1] = whole[:, 1] & ((1 << 48) - 1) | scale << 48
+    whole[:, -1] = whole[:, -1] & ((1 << 48) - 1) | scale << 48
     whole = whole.tolist()
     cut = (len(sets), SEGMENTS, width)
     value = bits[:, : SEGMENTS * width].reshape(cut) @ (np.int64(1) << np.arange(width, dtype=np.int64))
@@ -144,7 +148,7 @@ def ball_points(sets: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray
         chosen = (np.arange(1 << t)[:, None] >> np.arange(t) & 1).astype(np.int64)
         points = (value[i][:, None] ^ (flips @ chosen.T)).astype(np.uint64) | names
         points = (points ^ (points >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        yield (points ^ (points >> np.uint64(32))).ravel().view(np.int64), tuple(whole[i])
+        yield (points ^ (points >> np.uint64(32))).ravel().view(np.int64), whole[i]
 
 
 def _words(text: pa.Scalar) -> list[bytes]:
@@ -165,8 +169,8 @@ def _entries(width: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 found = list(ball_points([shingles(_words(x), size) for x in part.column(1)], width))
                 n = [len(points) for points, _ in found]
                 prints = np.array([p for _, p in found], dtype=np.int64)
-                cols = [np.concatenate([points for points, _ in found]), *(np.repeat(x, n) for x in (part.column(0).to_numpy(), prints[:, 0], prints[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["point", "id", "f", "g"])
+                cols = [np.concatenate([points for points, _ in found]), *(np.repeat(x, n) for x in (part.column(0).to_numpy(), *prints.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["point", "id", *PRINTS])
 
     return run
 
@@ -181,54 +185,60 @@ def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def _near(f: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    x, y = g[i], g[j]
-    bits = np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count(((x ^ y) << 16).view(np.uint64))
+def _near(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    *whole, last = prints
+    x, y = last[i], last[j]
+    bits = np.bitwise_count(((x ^ y) << 16).view(np.uint64)).astype(np.int64)
+    for f in whole:
+        bits += np.bitwise_count((f[i] ^ f[j]).view(np.uint64))
     return (bits <= FAR) & (np.abs((x >> 48) - (y >> 48)) <= STEPS + 1)
 
 
 def _near_columns() -> Column:
-    """The same for f, g and pf, pg."""
-    bits = F.bit_count(F.col("f").bitwiseXOR(F.col("pf"))) + F.bit_count(F.shiftleft(F.col("g").bitwiseXOR(F.col("pg")), 16))
-    return (bits <= FAR) & (F.abs(F.shiftright("g", 48) - F.shiftright("pg", 48)) <= STEPS + 1)
+    """The same for f0, f1, .. and pf0, pf1, .."""
+    *whole, last = [(F.col(c), F.col(f"p{c}")) for c in PRINTS]
+    bits = F.bit_count(F.shiftleft(last[0].bitwiseXOR(last[1]), 16))
+    for x, y in whole:
+        bits = bits + F.bit_count(x.bitwiseXOR(y))
+    return (bits <= FAR) & (F.abs(F.shiftright(last[0], 48) - F.shiftright(last[1], 48)) <= STEPS + 1)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (point, id, f, g) sorted by point and id: the near pairs (a, b) of a point with up to HEAVY texts; of another
-    the pairs with its first text, and its rows once more (a, b null, point, f, g)."""
+    """Of rows (point, id, prints) sorted by point and id: the near pairs (a, b) of a point with up to CROWD texts; of another
+    the pairs with its first text, and its rows once more (a, b null, point, prints)."""
 
-    def rows(a: np.ndarray, b: np.ndarray | None, *rest: np.ndarray) -> pa.RecordBatch:
+    def rows(a: np.ndarray, b: np.ndarray | None, rest: list[np.ndarray] | None = None) -> pa.RecordBatch:
         empty = pa.nulls(len(a), pa.int64())
-        cols = [pa.array(a), empty if b is None else pa.array(b), *(map(pa.array, rest) if rest else [empty] * 3)]
-        return pa.RecordBatch.from_arrays(cols, ["a", "b", "point", "f", "g"])
+        cols = [pa.array(a), empty if b is None else pa.array(b), *(map(pa.array, rest) if rest else [empty] * (1 + len(PRINTS)))]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "point", *PRINTS])
 
-    def light(point: np.ndarray, id_: np.ndarray, f: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def light(point: np.ndarray, id_: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         found, i = [np.zeros((0, 2), np.int64)], np.arange(len(point))
-        for lag in range(1, HEAVY):
+        for lag in range(1, CROWD):
             i = i[i + lag < len(point)]
             i = i[point[i] == point[i + lag]]
             if not len(i):
                 break
-            hit = i[_near(f, g, i, i + lag) & (id_[i] != id_[i + lag])]
+            hit = i[_near(list(prints), i, i + lag) & (id_[i] != id_[i + lag])]
             found.append(np.stack((id_[hit], id_[hit + lag]), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         if len(pairs):
             yield rows(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
-    def heavy(first: tuple[int, ...], cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        point, id_, f, g = cols
-        f, g = np.append(f, first[2]), np.append(g, first[3])
-        hit = np.flatnonzero(_near(f, g, np.arange(len(point)), np.full(len(point), len(point))) & (id_ != first[1]))
+    def crowded(first: list[int], cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        point, id_, *prints = cols
+        n = len(point)
+        hit = np.flatnonzero(_near([np.append(f, x) for f, x in zip(prints, first[2:], strict=True)], np.arange(n), np.full(n, n)) & (id_ != first[1]))
         yield rows(np.full(len(hit), first[1]), id_[hit])
-        yield rows(id_, None, point, f[:-1], g[:-1])
+        yield rows(id_, None, [point, *prints])
 
-    held, first = [np.zeros(0, np.int64)] * 4, None
+    held, first = [np.zeros(0, np.int64)] * (2 + len(PRINTS)), None
     for batch in batches:
         cols = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
         if first is not None:  # a crowded point goes on
             k = int(np.searchsorted(cols[0], first[0], side="right"))
             if k:
-                yield from heavy(first, [c[:k] for c in cols])
+                yield from crowded(first, [c[:k] for c in cols])
             cols = [c[k:] for c in cols]
             if not len(cols[0]):
                 held = cols
@@ -236,39 +246,25 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = None
         begin = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
         size = np.diff(np.append(begin, len(cols[0])))
-        done = np.repeat(np.where((size > HEAVY) | (np.arange(len(size)) == len(size) - 1), False, True), size)
+        done = np.repeat((size <= CROWD) & (np.arange(len(size)) < len(size) - 1), size)
         yield from light(*(c[done] for c in cols))
-        for a, n in zip(begin[size > HEAVY].tolist(), size[size > HEAVY].tolist(), strict=True):
+        for a, n in zip(begin[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
             some = [c[a : a + n] for c in cols]
-            first = tuple(int(c[0]) for c in some) if a == begin[-1] else None
-            yield from heavy(tuple(int(c[0]) for c in some), some)
+            head = [int(c[0]) for c in some]
+            first = head if a == begin[-1] else None
+            yield from crowded(head, some)
         held = [c[len(c) :] if first is not None else c[begin[-1] :] for c in cols]
     yield from light(*held)
 
 
-def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
-                    keep.append(False)
-                    continue
-                z = np.sort(np.concatenate((x, y)))
-                both = int((z[1:] == z[:-1]).sum())
-                keep.append(both >= least * (len(z) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are similar; a text that is in very many pairs is dealt out with them."""
     dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("s"))
     mine = dealt.select("a", "s").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(mine, ["a", "s"])
-    return both.select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long")
+    few, many = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter((few >= least * many - 1e-9) & (shared >= least * (few + many - shared) - 1e-9)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, path: str, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -278,7 +274,7 @@ def near_copies(docs: DataFrame, path: str, shingle: int = SHINGLE, least: float
     doc_id are left out; rows that repeat one give one row, their different texts link what either links, and one of
     them is verified. An empty table gives none. path: a shared folder.
 
-    All near pairs of a point with up to HEAVY texts are verified. Of a crowded point, first the pairs with one of its
+    All near pairs of a point with up to CROWD texts are verified. Of a crowded point, first the pairs with one of its
     texts; then, from round to round, those with eight times as many others, of texts that no chain of links joins to the point's
     largest component. It ends when each two near texts of a point are linked by a chain or compared.
     """
@@ -292,9 +288,10 @@ def near_copies(docs: DataFrame, path: str, shingle: int = SHINGLE, least: float
     others = keyed.join(copies.select("doc_id").distinct(), "doc_id", "left_semi").join(copies, ["doc_id", "words"], "left_anti").select("doc_id").distinct()
     chosen = known.join(copies.select("doc_id").distinct().join(others, "doc_id", "left_anti"), "doc_id", "left_anti")
     width = max(16, min(32, max(1, keyed.count()).bit_length()))
-    entries = chosen.mapInArrow(_entries(width, shingle), "point long, id long, f long, g long")
-    met = settle(entries.repartition("point").sortWithinPartitions("point", "id").mapInArrow(_meetings, "a long, b long, point long, f long, g long"), f"{path}/met")
-    crowd = met.filter("b is null").select("point", F.col("a").alias("id"), "f", "g")
+    prints = ", ".join(f"{c} long" for c in PRINTS)
+    entries = chosen.mapInArrow(_entries(width, shingle), f"point long, id long, {prints}")
+    met = settle(entries.repartition("point").sortWithinPartitions("point", "id").mapInArrow(_meetings, f"a long, b long, point long, {prints}"), f"{path}/met")
+    crowd = met.filter("b is null").select("point", F.col("a").alias("id"), *PRINTS)
     pairs = settle(met.filter("b is not null").select("a", "b").distinct(), f"{path}/pairs")
     some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowd.select(F.col("id").alias("doc_id"))).distinct()
     sets = settle(chosen.join(some, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), f"{path}/sets")
@@ -304,14 +301,14 @@ def near_copies(docs: DataFrame, path: str, shingle: int = SHINGLE, least: float
     done = None
     for k in range(1, 32):
         # the texts of a crowded point by component; the largest needs no pivot, as all others look at it
-        at = crowd.join(label, crowd["id"] == label["node"], "left").select("point", "id", "f", "g", F.coalesce("component", "id").alias("c"))
-        at = at.withColumn("done", F.lit(False)) if done is None else at.join(done, ["point", "id"], "left").select("point", "id", "f", "g", "c", F.coalesce("done", F.lit(False)).alias("done"))
+        at = crowd.join(label, crowd["id"] == label["node"], "left").select("point", "id", *PRINTS, F.coalesce("component", "id").alias("c"))
+        at = at.withColumn("done", F.lit(False)) if done is None else at.join(done, ["point", "id"], "left").select("point", "id", *PRINTS, "c", F.coalesce("done", F.lit(False)).alias("done"))
         sizes = at.groupBy("point", "c").agg(F.count("*").alias("m"))
         main = sizes.groupBy("point").agg(F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("x"), F.count("*").alias("cs")).filter("cs > 1").select("point", (-F.col("x.c")).alias("main"))
         at = settle(at.join(main, "point"), f"{path}/at-{k}")
         turn = F.row_number().over(Window.partitionBy("point").orderBy(F.xxhash64("id"), "id"))
         waiting = at.filter("c <> main and not done").withColumn("turn", turn)
-        pivots = settle(waiting.filter(F.col("turn") <= 8 ** (k + 1)).select("point", F.col("id").alias("p"), F.col("f").alias("pf"), F.col("g").alias("pg"), F.col("c").alias("pc")), f"{path}/pivots-{k}")
+        pivots = settle(waiting.filter(F.col("turn") <= 8 ** (k + 1)).select("point", F.col("id").alias("p"), *(F.col(c).alias(f"p{c}") for c in PRINTS), F.col("c").alias("pc")), f"{path}/pivots-{k}")
         if pivots.isEmpty():
             break
         asked = settle(at.join(pivots, "point").filter((F.col("c") != F.col("pc")) & _near_columns()).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), f"{path}/asked-{k}")
