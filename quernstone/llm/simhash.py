@@ -9,6 +9,13 @@ A segment value that very many different fingerprints share would give all their
 the ones that look such a value up, instead enter the Hamming ball of radius one round their whole fingerprint:
 two within distance two share a point of it, and a point has at most 65 fingerprints, all within two of each
 other. That is exact as well and linear.
+
+`near_copies` answers for a similarity instead of a distance: texts link if the Jaccard similarity of their sets of
+shingles is LEAST or more. At that similarity some 15 of 100 bits differ, so its fingerprints have SEGMENTS segments of
+log2(texts) bits, 16 at least, and a segment's Hamming ball is enumerated over its least certain bits alone, those whose
+counts are nearest to a half. Texts that share a point of a ball are verified by a complete distance over 304 bits and
+their sizes, then by the exact similarity. In a simulation with 16 to 24 bits a segment, a pair at LEAST was missed once in
+100 at most (sets of 7 to 300 shingles); sets of 4 and 5 are given larger balls.
 """
 
 from __future__ import annotations
