@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors see, below spark.checkpoint.dir.
 
+    Arrow batches of this session are bounded by bytes from then on.
     Where that setting is absent and all runs on one machine (tests), a local folder is set for this session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,11 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file:///tmp/quernstone-checkpoints"
+    spark.conf.set(BATCH, 8 << 20)  # very long texts go to Python few at a time
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

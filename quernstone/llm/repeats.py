@@ -32,11 +32,11 @@ from quernstone.llm.common import remove, settle
 
 #: Rows that a task gathers, whole owners at a time, before it compares them.
 BLOCK = 8_192
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Windows that are named at a time.
 HELD = 1 << 14
 #: Bytes of text that are cut at a time.
-PART = 1 << 21
+PART = 1 << 19
 
 
 class Cutter(Protocol):
@@ -198,6 +198,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def chunks(pieces: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The pieces in order, about `most` bytes at a time."""
+    some, held = [], 0
+    for x in pieces:
+        some.append(x)
+        held += len(x)
+        if held >= most:
+            yield some
+            some, held = [], 0
+    if some or not pieces:
+        yield some
+
+
 def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of true flags."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))

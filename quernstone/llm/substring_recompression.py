@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import id_and_text
-from quernstone.llm.repeats import distinct_texts, powers, removed, repeated_spans, with_part
+from quernstone.llm.repeats import chunks, distinct_texts, powers, removed, repeated_spans, with_part
 
 WIDTH = 20
 ROUNDS = 4
+#: Bytes whose words are named at a time.
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,18 +38,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 _white = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _codes = mix(np.arange(1, 257, dtype=np.uint64))
 _base = 0x9E3779B97F4A7C15
+_inverse = pow(_base, -1, 1 << 64)
 
 
-def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of all texts, and how many words each has."""
+def word_edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, a line feed after each, where words start and end in them, and how many each text has."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     white = _white[data]
     start = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
     end = np.flatnonzero(white & np.concatenate(([False], ~white[:-1])))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_codes[data] * powers(_base, len(data)))))
-    names = (sums[end] - sums[start]) * powers(pow(_base, -1, 1 << 64), len(data))[start]
     ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in texts]))
-    return mix(names ^ (end - start).astype(np.uint64)), np.diff(np.concatenate(([0], ends)))
+    return data, start, end, np.diff(np.concatenate(([0], ends)))
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_codes[data] * powers(_base, len(data)))))
+    names = (sums[end] - sums[start]) * powers(_inverse, len(data))[start]
+    return mix(names ^ (end - start).astype(np.uint64))
 
 
 def symbols(names: np.ndarray, rounds: int, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,13 +92,14 @@ class WordCutter:
     """Windows of `width` words, parted at ASCII white space; the first of equal windows stays."""
 
     first_stays = True
-    hot = 1 << 20  # some 7 MB of text, compared by a set
+    hot = 1 << 20  # some 7 MB of text, 100 MB as arrays of words and windows
 
     def __init__(self, width: int = WIDTH, rounds: int = ROUNDS) -> None:
         self.width, self.rounds, self.least = width, rounds, 2 * width - 1
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        hashes, counts = word_names(texts)
+        data, begin, end, counts = word_edges(texts)
+        hashes = word_names(data, begin, end)
         # what stands for a text's end is in no window
         names = np.insert(hashes, np.cumsum(counts), mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1 << 40)))
         bounds = np.concatenate(([0], np.cumsum(counts + 1)))
@@ -139,25 +148,50 @@ class WordCutter:
         return [b" ".join(words[start : start + n + self.width - 1]) for start, n in runs]
 
     def repeated(self, group: np.ndarray, pieces: list[bytes], n: np.ndarray) -> np.ndarray:
-        """The first window of its content, in the order of document and start, is the one that stays."""
-        out, seen, whole, last, width = [], set(), set(), None, self.width
-        for g, piece, k in zip(group.tolist(), pieces, n.tolist(), strict=True):
-            if g != last:
-                seen, whole, last = set(), set(), g
-            if piece in whole:  # all its windows were met
-                out.append(b"\1" * k)
-                continue
-            whole.add(piece)
-            words = piece.split(b" ")
-            flags = bytearray(k)
-            for i in range(k):
-                window = b" ".join(words[i : i + width])
-                if window in seen:
-                    flags[i] = 1
-                else:
-                    seen.add(window)
-            out.append(bytes(flags))
-        return np.frombuffer(b"".join(out), dtype=np.bool_)
+        """The first window of its content, in the order of document and start, is the one that stays.
+
+        Windows that hash alike are compared with the first of them, byte for byte, a stretch of neighbours at a time.
+        """
+        first: dict[tuple[int, bytes], int] = {}
+        met = np.array([first.setdefault(x, i) != i for i, x in enumerate(zip(group.tolist(), pieces, strict=True))])  # all its windows were
+        out = np.repeat(met, n)
+        which = np.flatnonzero(~met)
+        out[~out] = self._later(group[which], [pieces[i] for i in which.tolist()], n[which])
+        return out
+
+    def _later(self, group: np.ndarray, pieces: list[bytes], n: np.ndarray) -> np.ndarray:
+        names, begins, ends = [], [], []
+        for some in chunks(pieces, CHUNK):
+            data, begin, end, counts = word_edges(some)
+            offset = np.repeat(np.cumsum([0, *(len(x) + 1 for x in some[:-1])]), counts)
+            names.append(word_names(data, begin, end))
+            begins.append((begin - offset).astype(np.int32))
+            ends.append((end - offset).astype(np.int32))
+        begin, end = np.concatenate(begins), np.concatenate(ends)
+        words = sum(map(len, names))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.concatenate(names) * powers(_base, words))))
+        piece = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        at = np.arange(len(piece)) + piece * (self.width - 1)  # its first word
+        h = mix((sums[at + self.width] - sums[at]) * powers(_inverse, words)[at]) + mix(group.astype(np.uint64))[piece]
+        order = np.argsort(h, kind="stable")
+        fresh = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        head = np.empty(len(h), dtype=np.int64)
+        head[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        flags = head != np.arange(len(h))
+        k = np.flatnonzero(flags)
+        edge = np.ones(len(k) + 1, dtype=bool)
+        edge[1:-1] = (np.diff(k) != 1) | (np.diff(head[k]) != 1) | (np.diff(piece[k]) != 0) | (np.diff(piece[head[k]]) != 0)
+        edges = np.flatnonzero(edge)
+        for i, j in zip(k[edges[:-1]].tolist(), k[edges[1:] - 1].tolist(), strict=True):
+            x, y = ((piece[w], begin[at[w]], end[at[w] + j - i + self.width - 1]) for w in (i, int(head[i])))
+            if pieces[x[0]][x[1] : x[2]] != pieces[y[0]][y[1] : y[2]]:  # different windows of one hash: told apart by content
+                for value in set(h[i : j + 1].tolist()):
+                    seen: set[tuple[int, bytes]] = set()
+                    for w in np.flatnonzero(h == value).tolist():
+                        window = int(group[piece[w]]), pieces[piece[w]][begin[at[w]] : end[at[w] + self.width - 1]]
+                        flags[w] = window in seen
+                        seen.add(window)
+        return flags
 
 
 def range_max(value: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
