@@ -35,6 +35,8 @@ BLOCK = 8_192
 BLOCK_BYTES = 4 << 20
 #: Windows that are named at a time.
 HELD = 1 << 14
+#: Texts whose pieces go out in one batch; pieces overlap, so they take several times the texts' bytes.
+SENT = 32
 #: Bytes of text that are cut at a time.
 PART = 1 << 19
 
@@ -129,8 +131,8 @@ def _pieces(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SENT):
+                some = batch.slice(at, SENT)
                 sizes, (owner, start, n) = _listed(some.column(3))
                 pairs, pieces, k = list(zip(start.tolist(), n.tolist(), strict=True)), [], 0
                 for text, size in zip(some.column(2), sizes.tolist(), strict=True):
