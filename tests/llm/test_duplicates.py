@@ -212,3 +212,20 @@ def test_a_sound_that_all_share_is_not_given_by_pairs(spark, folder, monkeypatch
     got = chroma.align(spark.createDataFrame(rows, "doc_id long, samples binary"), folder, chroma.F.col("doc_id") % 2 == 0).filter("relation <> 'copy'").collect()
     assert {(r.doc_id, r.match_id) for r in got if r.relation == "common"} >= {(i, 0) for i in range(1, 30)}
     assert len(got) < 30 * 8
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    rng, cutter = random.Random(3), substring_recompression.WordCutter(3)
+    n = [rng.randint(1, 9) for _ in range(30)]
+    pieces = [b" ".join(rng.choice([b"a", b"bb", b"\xc3\xa9"]) for _ in range(k + 2)) for k in n]
+    group = np.sort([rng.randint(-3, 3) for _ in n])
+    seen, want = set(), []
+    for g, piece, k in zip(group.tolist(), pieces, n, strict=True):
+        words = piece.split(b" ")
+        for i in range(k):
+            window = g, *words[i : i + 3]
+            want.append(window in seen)
+            seen.add(window)
+    assert cutter.repeated(group, pieces, np.array(n)).tolist() == want
+    monkeypatch.setattr(substring_recompression, "mix", lambda x: x & np.uint64(3))
+    assert cutter.repeated(group, pieces, np.array(n)).tolist() == want
