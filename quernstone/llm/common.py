@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[^\x20\t-\r]+"
+#: Values of the hash by which `apart` tells rows; as many numbers at most are broadcast.
+SLOTS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def apart(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that surely have no partner in keys, and the others, among them all that have one.
+
+    A hash of the whole numbers `on` tells, so a join with few keys exchanges few rows; with very many, all. Null keys may be on either side.
+    """
+    slot = F.pmod(F.xxhash64(*(F.col(c).cast("long") for c in on)), F.lit(SLOTS)).alias("_slot")
+    taken = F.broadcast(keys.select(slot).distinct())
+    slotted = rows.select("*", slot)
+    return slotted.join(taken, "_slot", "left_anti").drop("_slot"), slotted.join(taken, "_slot", "left_semi").drop("_slot")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that have no partner in keys."""
+    free, rest = apart(rows, keys, on)
+    return free.unionByName(rest.join(keys.select(*on), on, "left_anti").select(*rows.columns))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads; other columns, however named, stay out of its way."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

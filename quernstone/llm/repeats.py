@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import remove, settle
+from quernstone.llm.common import remove, settle, without
 
 #: Rows that a task gathers, whole owners at a time, before it compares them.
 BLOCK = 8_192
@@ -82,7 +82,7 @@ def distinct_texts(base: DataFrame, least: int, path: str) -> tuple[DataFrame, D
     per = settle(keyed.groupBy("sha", "doc_id", "part").agg(F.count("*").alias("rows")), f"{path}/per")
     groups = settle(per.groupBy("sha").agg(F.min(F.struct("doc_id", "part")).alias("rep"), F.count("*").alias("texts")).filter("texts > 1").select("sha", "rep"), f"{path}/groups")
     notes = settle(per.join(groups, "sha").select("doc_id", "part", F.col("rep.doc_id").alias("rep_id"), F.col("rep.part").alias("rep_part")), f"{path}/twins")
-    texts = known.join(notes.filter("doc_id <> rep_id or part <> rep_part").select("doc_id", "part"), ["doc_id", "part"], "left_anti")
+    texts = without(known, notes.filter("doc_id <> rep_id or part <> rep_part"), ["doc_id", "part"])
     again = settle(per.filter("rows > 1").select("doc_id", "part"), f"{path}/again")
     if not again.isEmpty():
         one = texts.join(again, ["doc_id", "part"], "left_semi").dropDuplicates(["doc_id", "part"])

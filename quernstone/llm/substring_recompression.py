@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import id_and_text
+from quernstone.llm.common import apart, id_and_text
 from quernstone.llm.repeats import chunks, distinct_texts, powers, removed, repeated_spans, with_part
 
 WIDTH = 20
@@ -245,5 +245,7 @@ def remove_repeats(docs: DataFrame, path: str, width: int = WIDTH, keep_text: bo
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(gone_, pa.int64()), pa.array(digests), pa.array(texts_, pa.string()), some.column(4)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "part"])
 
     key = ["doc_id", "part"]
-    marked = base.join(found, key, "left").join(copies, key, "left").select("doc_id", "text", "spans", "copy", "part")
+    whole, rest = apart(base, found.select(*key).unionByName(copies.select(*key)), key)
+    rest = rest.join(found, key, "left").join(copies, key, "left").select("doc_id", "text", "spans", "copy", "part")
+    marked = whole.select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(None).cast("boolean").alias("copy"), "part").unionByName(rest)
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, part int")

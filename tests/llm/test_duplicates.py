@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quernstone.llm import chroma, components, simhash, substring_recompression, suffix_dedup
+from quernstone.llm import chroma, common, components, simhash, substring_recompression, suffix_dedup
 
 random.seed(11)
 VOCABULARY = [f"w{i}" for i in range(40)]
@@ -243,6 +243,20 @@ def test_stretches_on_arrays_are_those_of_single_pairs(monkeypatch):
     assert got == want and 5 < sum(want) < 595
 
 
+@pytest.mark.parametrize("slots", [1, 1 << 20])
+def test_rows_without_partners_are_told_apart(spark, monkeypatch, slots):
+    monkeypatch.setattr(common, "SLOTS", slots)
+    rows = spark.createDataFrame([(i % 50, i, str(i)) for i in range(100)] + [(None, 1, "n")], "doc_id int, part long, text string")
+    keys = spark.createDataFrame([(i, i) for i in range(0, 40, 4)] + [(3, 4), (None, 1)], "doc_id long, part int")
+    on = ["doc_id", "part"]
+    free, rest = common.apart(rows, keys, on)
+    assert free.columns == rest.columns == rows.columns
+    assert sorted(r.text for r in free.unionByName(rest).collect()) == sorted(r.text for r in rows.collect())
+    gone = {str(i) for i in range(0, 40, 4)}
+    assert gone <= {r.text for r in rest.collect()} and (slots > 1 or free.isEmpty())
+    assert {r.text for r in common.without(rows, keys, on).collect()} == {r.text for r in rows.collect()} - gone
+
+
 def test_windows_of_one_hash_are_told_apart(monkeypatch):
     rng, cutter = random.Random(3), substring_recompression.WordCutter(3)
     n = [rng.randint(1, 9) for _ in range(30)]
