@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe_codec, language_id, simhash, substring_recompression, template_decontamination
-from quernstone.llm.common import shared_dir, table
+from quernstone.llm.common import may_be_in, settle, shared_dir, table
 from quernstone.llm.repeats import with_part
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,7 +26,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with equal doc_id and text are one; rows without doc_id all stay.
     """
     goes = simhash.near_copies(docs, shared_dir(spark)).filter("doc_id <> component_id").select("doc_id")
-    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    goes = settle(goes, shared_dir(spark))
+    may_go = F.coalesce(may_be_in(goes)(F.col("doc_id")), F.lit(False))
+    kept = docs.filter(~may_go).unionByName(docs.filter(may_go).join(goes, "doc_id", "left_anti").select(*docs.columns))
     sha = F.sha2(F.col("text").cast("binary"), 256)
     again = docs.filter("doc_id is not null").groupBy("doc_id", sha.alias("sha")).count().filter("count > 1").select("doc_id").distinct()
     if again.isEmpty():

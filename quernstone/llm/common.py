@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[^\x20\t-\r]+"
 #: Values of the hash by which `apart` tells rows; as many numbers at most are broadcast.
 SLOTS = 1 << 20
+#: Bits of the map by which `may_be_in` tells ids: for each id, and at most; bits of one of its slices.
+BITS_EACH = 64
+BITS = 1 << 27
+SLICE = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +86,43 @@ def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads; other columns, however named, stay out of its way."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _slice(group: pa.Table) -> pa.Table:
+    found = np.zeros(SLICE, dtype=bool)
+    found[group.column("bit").to_numpy()] = True
+    return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([np.packbits(found).tobytes()])})
+
+
+def id_map(ids: DataFrame) -> tuple[Callable[[Column], Column], Callable[[pa.Array], pa.Array]]:
+    """A slot for whole numbers, and a test of slots that holds for those of all of ids (one column) and for some few others.
+
+    A bit map of BITS at most goes along with the tasks, so rows that are surely out need not be exchanged, however many ids
+    there are.
+    """
+    spark, name = ids.sparkSession, ids.columns[0]
+    size = min(BITS, max(SLICE, 1 << (ids.count() * BITS_EACH).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(size))
+    found = ids.select(slot(F.col(name)).alias("slot")).distinct().select(F.expr(f"slot div {SLICE}").alias("slice"), (F.col("slot") % SLICE).alias("bit"))
+    slices = found.groupBy("slice").applyInArrow(_slice, "slice long, bits binary").toArrow()
+    whole = np.zeros((size // SLICE, SLICE // 8), dtype=np.uint8)
+    for at, bits in zip(slices.column("slice").to_pylist(), slices.column("bits"), strict=True):
+        whole[at] = np.frombuffer(bits.as_py(), dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(whole.ravel())
+
+    def test(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1)
+
+    return slot, test
+
+
+def may_be_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """The test of `id_map` as a filter; where Python follows in the same task, test there, as each takes a worker's memory."""
+    slot, test = id_map(ids)
+
+    def run(slots: pa.Array) -> pa.Array:
+        return test(slots)
+
+    held = F.arrow_udf(run, "boolean")
+    return lambda c: held(slot(c))

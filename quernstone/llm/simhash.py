@@ -14,7 +14,7 @@ other. That is exact as well and linear.
 shingles is LEAST or more. At that similarity some 15 of 100 bits differ, so its fingerprints have SEGMENTS segments of
 log2(texts) bits, 16 at least, and a segment's Hamming ball is enumerated over its least certain bits alone, those whose
 counts are nearest to a half. Texts that share a point of a ball are verified by a complete distance over 304 bits and
-their sizes, then by the exact similarity. In a simulation with 16 to 24 bits a segment, a pair at LEAST was missed once in
+their sizes, then by one over 2,048 bits, then by the exact similarity. In a simulation with 16 to 24 bits a segment, a pair at LEAST was missed once in
 100 at most (sets of 7 to 300 shingles); sets of 4 and 5 are given larger balls.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import id_and_text, remove, settle
+from quernstone.llm.common import id_and_text, id_map, may_be_in, remove, settle
 from quernstone.llm.components import components
 
 HEAVY = 64
@@ -43,6 +43,13 @@ PRINTS = ["f0", "f1", "f2", "f3", "f4"]
 FAR = 68
 #: Steps of the number of shingles from 4 to 5, the most that LEAST allows; the fingerprint's last 16 bits hold it in such steps.
 STEPS = 64
+#: Words of the long fingerprint, and differing bits of it up to which sets of more than FEW shingles are compared: a pair at LEAST has
+#: 324 at most, give or take 17. Small sets take no more bytes than the fingerprint.
+LONG = 32
+WIDE = 390
+FEW = 32
+#: Bits of a segment that are flipped, at most.
+FLIPS = 4
 #: Pairs of one text that are compared in one task.
 SHARE = 256
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -134,8 +141,9 @@ def _tallies(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def ball_points(sets: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """For each set of hashes the points of its segments' balls, as signed numbers, and 304 bits of its fingerprint with its size."""
+def segments(sets: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each set of hashes its segments, the least certain bits of each, how many of them are flipped, and 304 bits of its
+    fingerprint with its size."""
     words = -(-SEGMENTS * width // 64)
     tally = np.stack([_tallies(x, words) for x in sets])
     sizes = np.array([len(x) for x in sets])[:, None]
@@ -143,51 +151,70 @@ def ball_points(sets: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray
     whole = np.packbits(bits[:, : 64 * len(PRINTS)], axis=1, bitorder="little").view(np.int64)
     scale = np.minimum(np.rint(STEPS * np.log(sizes[:, 0]) / np.log(1.25)), (1 << 15) - 1).astype(np.int64)
     whole[:, -1] = whole[:, -1] & ((1 << 48) - 1) | scale << 48
-    whole = whole.tolist()
     cut = (len(sets), SEGMENTS, width)
     value = bits[:, : SEGMENTS * width].reshape(cut) @ (np.int64(1) << np.arange(width, dtype=np.int64))
-    order = np.argsort(doubt[:, : SEGMENTS * width].reshape(cut), axis=2, kind="stable")
+    order = np.argsort(doubt[:, : SEGMENTS * width].reshape(cut), axis=2, kind="stable")[:, :, :FLIPS]
+    usual = 2 if width <= 18 else 3 if width <= 22 else FLIPS
+    return value, order, np.where(sizes[:, 0] > 8, usual, FLIPS), whole  # bits of few shingles are less certain
+
+
+def ball_points(value: np.ndarray, order: np.ndarray, flipped: int) -> np.ndarray:
+    """The points of the balls of a set's segments, as signed numbers."""
     names = (np.arange(1, SEGMENTS + 1, dtype=np.uint64) << np.uint64(40))[:, None]
-    usual = 2 if width <= 18 else 3 if width <= 22 else 4
-    for i, x in enumerate(sets):
-        t = usual if len(x) > 8 else max(4, usual)  # bits of few shingles are less certain
-        flips = np.int64(1) << order[i, :, :t]
-        chosen = (np.arange(1 << t)[:, None] >> np.arange(t) & 1).astype(np.int64)
-        points = (value[i][:, None] ^ (flips @ chosen.T)).astype(np.uint64) | names
-        points = (points ^ (points >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        yield (points ^ (points >> np.uint64(32))).ravel().view(np.int64), whole[i]
+    flips = np.int64(1) << order[:, :flipped].astype(np.int64)
+    chosen = (np.arange(1 << flipped)[:, None] >> np.arange(flipped) & 1).astype(np.int64)
+    points = (value.astype(np.int64)[:, None] ^ (flips @ chosen.T)).astype(np.uint64) | names
+    points = (points ^ (points >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (points ^ (points >> np.uint64(32))).ravel().view(np.int64)
 
 
 def _words(text: pa.Scalar) -> list[bytes]:
     return text.as_py().encode().translate(_lower).split()
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [xxhash.xxh128_digest(b" ".join(_words(x))) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["doc_id", "words"])
-
+def _keyed(width: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of doc_id and text: a digest of the words, and what makes the points (segments, bits, how many), so no text is exchanged."""
 
-def _entries(width: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = list(ball_points([shingles(_words(x), size) for x in part.column(1)], width))
-                n = [len(points) for points, _ in found]
-                prints = np.array([p for _, p in found], dtype=np.int64)
-                cols = [np.concatenate([points for points, _ in found]), *(np.repeat(x, n) for x in (part.column(0).to_numpy(), *prints.T))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["point", "id", *PRINTS])
+                words = [_words(x) for x in part.column(1)]
+                keys = [xxhash.xxh128_digest(b" ".join(x)) for x in words]
+                value, order, flipped, prints = segments([shingles(x, size) for x in words], width)
+                cuts = [v + o for v, o in zip(map(np.ndarray.tobytes, value.astype(np.uint32)), map(np.ndarray.tobytes, order.astype(np.uint8)), strict=True)]
+                cols = [pa.array(keys, pa.binary()), pa.array(cuts, pa.binary()), pa.array(flipped, pa.int32()), *(pa.array(x.copy()) for x in prints.T)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "words", "cuts", "flipped", *PRINTS])
 
     return run
 
 
-def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of doc_id, cuts, flipped, prints: a row for each point."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            found = []
+            for cuts, flipped in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                value = np.frombuffer(cuts, dtype=np.uint32, count=SEGMENTS)
+                found.append(ball_points(value, np.frombuffer(cuts, dtype=np.uint8, offset=4 * SEGMENTS).reshape(SEGMENTS, FLIPS), flipped))
+            n = [len(points) for points in found]
+            cols = [np.concatenate(found), *(np.repeat(part.column(c).to_numpy(), n) for c in ("doc_id", *PRINTS))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["point", "id", *PRINTS])
+
+
+def _sets(size: int, asked: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of doc_id, text and slot, where the slot is asked for: the shingles, their number and their long fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(_words(x), size).view(np.int64) for x in part.column(1)], pa.list_(pa.int64()))], ["id", "shingles"])
+            batch = batch.filter(asked(batch.column(2)))
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = [shingles(_words(x), size) for x in part.column(1)]
+                long = [np.packbits(_tallies(x, LONG) * 2 > len(x), bitorder="little").view(np.int64) for x in found]
+                cols = [pa.array([len(x) for x in found], pa.int32()), pa.array(long, pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "n", "long", "shingles"])
 
     return run
 
@@ -201,23 +228,22 @@ def _near(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (bits <= FAR) & (np.abs((x >> 48) - (y >> 48)) <= STEPS + 1)
 
 
-def _near_columns() -> Column:
-    """The same for f0, f1, .. and pf0, pf1, .."""
-    *whole, last = [(F.col(c), F.col(f"p{c}")) for c in PRINTS]
-    bits = F.bit_count(F.shiftleft(last[0].bitwiseXOR(last[1]), 16))
-    for x, y in whole:
-        bits = bits + F.bit_count(x.bitwiseXOR(y))
-    return (bits <= FAR) & (F.abs(F.shiftright(last[0], 48) - F.shiftright(last[1], 48)) <= STEPS + 1)
+def _wide() -> Column:
+    """Whether long fingerprints long and p_long of sets of n and p_n shingles are near, on all their bits and on those of `_near`,
+    and the sizes fit."""
+    differ = [F.bit_count(F.get("long", F.lit(k)).bitwiseXOR(F.get("p_long", F.lit(k)))) for k in range(LONG)]
+    cut = F.bit_count(F.shiftleft(F.get("long", F.lit(len(PRINTS) - 1)).bitwiseXOR(F.get("p_long", F.lit(len(PRINTS) - 1))), 16))
+    few, many = F.least("n", "p_n"), F.greatest("n", "p_n")
+    return (few >= LEAST * many - 1e-9) & (sum(differ[: len(PRINTS) - 1], cut) <= FAR) & ((few <= FEW) | (sum(differ[1:], differ[0]) <= WIDE))
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (point, id, prints) sorted by point and id: the near pairs (a, b) of a point with up to CROWD texts; of another
-    the pairs with its first text, and its rows once more (a, b null, point, prints)."""
+    the pairs with its first text, and its rows once more (a, b null, point)."""
 
-    def rows(a: np.ndarray, b: np.ndarray | None, rest: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    def rows(a: np.ndarray, b: np.ndarray | None, point: np.ndarray | None = None) -> pa.RecordBatch:
         empty = pa.nulls(len(a), pa.int64())
-        cols = [pa.array(a), empty if b is None else pa.array(b), *(map(pa.array, rest) if rest else [empty] * (1 + len(PRINTS)))]
-        return pa.RecordBatch.from_arrays(cols, ["a", "b", "point", *PRINTS])
+        return pa.RecordBatch.from_arrays([pa.array(a), *(empty if x is None else pa.array(x) for x in (b, point))], ["a", "b", "point"])
 
     def light(point: np.ndarray, id_: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         found, i = [np.zeros((0, 2), np.int64)], np.arange(len(point))
@@ -237,7 +263,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(point)
         hit = np.flatnonzero(_near([np.append(f, x) for f, x in zip(prints, first[2:], strict=True)], np.arange(n), np.full(n, n)) & (id_ != first[1]))
         yield rows(np.full(len(hit), first[1]), id_[hit])
-        yield rows(id_, None, [point, *prints])
+        yield rows(id_, None, point)
 
     held, first = [np.zeros(0, np.int64)] * (2 + len(PRINTS)), None
     for batch in batches:
@@ -264,11 +290,19 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from light(*held)
 
 
+def _near_ones(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose long fingerprints are near."""
+    long = sets.select("id", "n", "long")
+    mine = long.select(F.col("id").alias("a"), F.col("n").alias("p_n"), F.col("long").alias("p_long"))
+    return pairs.join(mine, "a").join(long.withColumnRenamed("id", "b"), "b").filter(_wide()).select("a", "b")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are similar; a text that is in very many pairs is dealt out with them."""
+    some = sets.filter(may_be_in(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())(F.col("id")))
     dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("s"))
-    mine = dealt.select("a", "s").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(mine, ["a", "s"])
+    mine = dealt.select("a", "s").distinct().join(some.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = dealt.join(some.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(mine, ["a", "s"])
     few, many = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter((few >= least * many - 1e-9) & (shared >= least * (few + many - shared) - 1e-9)).select("a", "b")
@@ -289,36 +323,43 @@ def near_copies(docs: DataFrame, path: str, shingle: int = SHINGLE, least: float
         raise ValueError(f"segments and distances are laid out for a similarity of {LEAST} or more")
     spark = docs.sparkSession
     known = id_and_text(docs).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    keyed = settle(known.mapInArrow(_alike, "doc_id long, words binary"), f"{path}/keyed")
-    groups = settle(keyed.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1").select("words", "id"), f"{path}/alike")
-    copies = settle(keyed.join(groups, "words").filter("doc_id <> id").select("doc_id", "id", "words").distinct(), f"{path}/copies")
-    others = keyed.join(copies.select("doc_id").distinct(), "doc_id", "left_semi").join(copies, ["doc_id", "words"], "left_anti").select("doc_id").distinct()
-    chosen = known.join(copies.select("doc_id").distinct().join(others, "doc_id", "left_anti"), "doc_id", "left_anti")
-    width = max(16, min(32, max(1, keyed.count()).bit_length()))
+    width = max(16, min(32, max(1, known.count()).bit_length()))
     prints = ", ".join(f"{c} long" for c in PRINTS)
-    entries = chosen.mapInArrow(_entries(width, shingle), f"point long, id long, {prints}")
-    met = settle(entries.repartition("point").sortWithinPartitions("point", "id").mapInArrow(_meetings, f"a long, b long, point long, {prints}"), f"{path}/met")
-    crowd = met.filter("b is null").select("point", F.col("a").alias("id"), *PRINTS)
+    keyed = settle(known.mapInArrow(_keyed(width, shingle), f"doc_id long, words binary, cuts binary, flipped int, {prints}"), f"{path}/keyed")
+    groups = settle(keyed.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1").select("words", "id"), f"{path}/alike")
+    copies = settle(keyed.select("doc_id", "words").join(groups, "words").filter("doc_id <> id").select("doc_id", "id", "words").distinct(), f"{path}/copies")
+    others = keyed.select("doc_id", "words").join(copies.select("doc_id").distinct(), "doc_id", "left_semi").join(copies, ["doc_id", "words"], "left_anti").select("doc_id").distinct()
+    chosen = keyed.join(copies.select("doc_id").distinct().join(others, "doc_id", "left_anti"), "doc_id", "left_anti")
+    entries = chosen.select("doc_id", "cuts", "flipped", *PRINTS).mapInArrow(_entries, f"point long, id long, {prints}")
+    met = settle(entries.repartition("point").sortWithinPartitions("point", "id").mapInArrow(_meetings, "a long, b long, point long"), f"{path}/met")
+    crowd = met.filter("b is null").select("point", F.col("a").alias("id"))
     pairs = settle(met.filter("b is not null").select("a", "b").distinct(), f"{path}/pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowd.select(F.col("id").alias("doc_id"))).distinct()
-    sets = settle(chosen.join(some, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), f"{path}/sets")
-    found = settle(_compared(pairs, sets, least), f"{path}/similar")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).distinct()
+    slot, asked_for = id_map(some)
+    made = known.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(_sets(shingle, asked_for), "id long, n int, long array<long>, shingles array<long>")
+    repeats = not keyed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sets = settle(made.dropDuplicates(["id"]) if repeats else made, f"{path}/sets")
+    long = sets.select("id", "n", "long")
+    near = settle(_near_ones(pairs, sets), f"{path}/near")
+    found = settle(_compared(near, sets, least), f"{path}/similar")
     linked = copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).unionByName(found)
     label = settle(components(linked, f"{path}/0"), f"{path}/label-0")
     done = None
     for k in range(1, 32):
         # the texts of a crowded point by component; the largest needs no pivot, as all others look at it
-        at = crowd.join(label, crowd["id"] == label["node"], "left").select("point", "id", *PRINTS, F.coalesce("component", "id").alias("c"))
-        at = at.withColumn("done", F.lit(False)) if done is None else at.join(done, ["point", "id"], "left").select("point", "id", *PRINTS, "c", F.coalesce("done", F.lit(False)).alias("done"))
+        at = crowd.join(label, crowd["id"] == label["node"], "left").select("point", "id", F.coalesce("component", "id").alias("c"))
+        at = at.withColumn("done", F.lit(False)) if done is None else at.join(done, ["point", "id"], "left").select("point", "id", "c", F.coalesce("done", F.lit(False)).alias("done"))
         sizes = at.groupBy("point", "c").agg(F.count("*").alias("m"))
         main = sizes.groupBy("point").agg(F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("x"), F.count("*").alias("cs")).filter("cs > 1").select("point", (-F.col("x.c")).alias("main"))
         at = settle(at.join(main, "point"), f"{path}/at-{k}")
         turn = F.row_number().over(Window.partitionBy("point").orderBy(F.xxhash64("id"), "id"))
         waiting = at.filter("c <> main and not done").withColumn("turn", turn)
-        pivots = settle(waiting.filter(F.col("turn") <= 8 ** (k + 1)).select("point", F.col("id").alias("p"), *(F.col(c).alias(f"p{c}") for c in PRINTS), F.col("c").alias("pc")), f"{path}/pivots-{k}")
+        pivots = settle(waiting.filter(F.col("turn") <= 8 ** (k + 1)).select("point", F.col("id").alias("p"), F.col("c").alias("pc")), f"{path}/pivots-{k}")
         if pivots.isEmpty():
             break
-        asked = settle(at.join(pivots, "point").filter((F.col("c") != F.col("pc")) & _near_columns()).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), f"{path}/asked-{k}")
+        theirs = pivots.join(long.select(F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("long").alias("p_long")), "p")
+        others = at.select("point", "id", "c").join(pivots.select("point").distinct(), "point", "left_semi").join(long, "id")
+        asked = settle(others.join(theirs, "point").filter((F.col("c") != F.col("pc")) & _wide()).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), f"{path}/asked-{k}")
         now = pivots.select("point", F.col("p").alias("id"), F.lit(True).alias("done"))
         done = settle(now if done is None else done.unionByName(now), f"{path}/done-{k}")
         if asked.isEmpty():
@@ -330,6 +371,6 @@ def near_copies(docs: DataFrame, path: str, shingle: int = SHINGLE, least: float
         raise RuntimeError("texts of a crowded point are not all compared")
     own = keyed.select("doc_id").distinct()
     out = settle(own.join(label, own["doc_id"] == label["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id")), f"{path}/out")
-    for name in ("keyed", "alike", "copies", "met", "pairs", "sets", "similar"):
+    for name in ("keyed", "alike", "copies", "met", "pairs", "sets", "near", "similar"):
         remove(spark, f"{path}/{name}")
     return out
