@@ -5,6 +5,8 @@ Each helper returns SQL text, so it stays within whole-stage code generation.
 
 from __future__ import annotations
 
+LIMITS = {kind: (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1) for kind, bits in (("tinyint", 8), ("smallint", 16), ("int", 32), ("bigint", 64))}
+
 
 def int_div(a: str, b: str, kind: str) -> str:
     """Integer division that truncates toward zero, in the operands' type."""
@@ -40,3 +42,18 @@ def strict_float(x: str, *operands: str) -> str:
 def masked_shift(x: str, count: str, bits: int, left: bool = True) -> str:
     """A shift whose count is taken modulo the width, in the operand's type."""
     return f"{'shiftleft' if left else 'shiftright'}({x}, cast({count} & {bits - 1} as int))"
+
+
+def overflows(x: str, sign: str, number: int, kind: str) -> str:
+    """Whether x + number, x - number or x * number leaves the integer kind; null for a null x.
+
+    x is compared with the least and greatest value that do not overflow: the engine's try_ functions raise and catch an
+    exception for each row that does.
+    """
+    least, most = LIMITS[kind]
+    if sign == "*":
+        ends = (least, most) if number > 0 else (most, least)
+        low, high = (-(-ends[0] // number), ends[1] // number) if number else (least, most)
+    else:
+        low, high = (end - number if sign == "+" else end + number for end in (least, most))
+    return f"({x} NOT BETWEEN {max(low, least)} AND {min(high, most)})"

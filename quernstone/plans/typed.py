@@ -7,7 +7,7 @@ and log positions on wider ones, times on microseconds, ranges' distances on num
 
 from __future__ import annotations
 
-from quernstone.functions.scalar import interval_key, strict_float
+from quernstone.functions.scalar import interval_key, overflows, strict_float
 from quernstone.plans.suite import Query
 from quernstone.plans.surface import _compare
 
@@ -37,7 +37,7 @@ _arrays = "(VALUES (1, 10, 20, 30), (2, 7, 7, 7), (3, -1, 0, 1)) AS t(id, a, b,
 _floats = "(VALUES (1, 0.0e0), (2, -0.0e0), (3, cast('NaN' as double)), (4, 1.5e0), (5, CAST(NULL as double))) AS t(id, x)"
 SUITE = {
     "typed_int_mul": Query("SELECT id, cast(cast(a2 % 100 as smallint) * cast(b2 as smallint) as smallint) AS m22, cast(a2 * b4 as int) AS m24, cast(a4 * b2 as int) AS m42, cast(a4 * b4 as int) AS m44 FROM operands"),
-    "typed_int_overflow": Query("SELECT id, try_multiply(cast(a4 as int), 2000000) IS NULL AS m4, try_add(cast(a8 as bigint), 9223372036854775000) IS NULL AS p8, try_subtract(cast(a4 as int), 2147480000) IS NULL AS s4 FROM operands",
+    "typed_int_overflow": Query(f"SELECT id, {overflows('cast(a4 as int)', '*', 2000000, 'int')} AS m4, {overflows('cast(a8 as bigint)', '+', 9223372036854775000, 'bigint')} AS p8, {overflows('cast(a4 as int)', '-', 2147480000, 'int')} AS s4 FROM operands",
         "SELECT id, abs(cast(a4 as bigint) * 2000000) > 2147483647 AS m4, cast(a8 as hugeint) + 9223372036854775000 > 9223372036854775807 AS p8, cast(a4 as bigint) - 2147480000 < -2147483648 AS s4 FROM operands"),
     "int_dec": Query("SELECT id, a8 - 1 AS dec8, b8 - 1 AS dec8_any, a8 + 1 AS inc8 FROM operands"),
     "float4_typed": Query("SELECT id, cast(f4 + g4 as float) AS pl, cast(f4 - g4 as float) AS mi, cast(f4 * g4 as float) AS mul, cast(f4 / g4 as float) AS div_, +f4 AS up4, +f8 AS up8 FROM operands"),

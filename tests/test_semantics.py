@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions.regex import RegexError, to_java
-from quernstone.functions.scalar import half_even, int_div, interval_key, masked_shift, strict_float, three_way
+from quernstone.functions.scalar import half_even, int_div, interval_key, masked_shift, overflows, strict_float, three_way
 
 
 def one(spark, expression):
@@ -76,3 +76,14 @@ def test_json_types_and_keys(spark):
         assert [r.u for r in out] == [*[True] * 6, False, False, True, False, None]
     finally:
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+
+
+def test_overflow_is_told_by_bounds(spark):
+    """As Python's numbers tell it, next to every bound; nothing is caught."""
+    tried = [(sign, n) for sign, found in (("+", (0, 1, -1, 807, -32768, 32767)), ("-", (0, 1, -1, 807, -32768, 32767)), ("*", (0, 1, -1, 2, -2, 3, -7, 32767, -32768))) for n in found]
+    df = spark.range(-32768, 32768).selectExpr("cast(id as smallint) AS x").selectExpr("x", *(f"{overflows('x', sign, n, 'smallint')} AS t{k}" for k, (sign, n) in enumerate(tried)))
+    count = {"+": int.__add__, "-": int.__sub__, "*": int.__mul__}
+    got = df.toPandas()
+    for k, (sign, n) in enumerate(tried):
+        assert [bool(t) for t in got[f"t{k}"]] == [not -32768 <= count[sign](x, n) <= 32767 for x in got["x"].tolist()], (sign, n)
+    assert one(spark, overflows("cast(null as int)", "*", 5, "int")) is None
